@@ -172,7 +172,7 @@ def predict(df: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text
     return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, net: ByteConvNet | None, text_col: str = "text", least_score: float = 0.4) -> DataFrame:
+def keep_identified(df: DataFrame, net: ByteConvNet | None, text_col: str = "text", least_score: float = 0.35) -> DataFrame:
     """The rows of ``df``, all columns, whose language the network tells with at least ``least_score``; null and letterless texts go."""
     names = df.columns
 

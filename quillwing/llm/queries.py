@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, langid, packing, sentencepiece_stream, token_counts
+from . import binary_output, exact_dedup, langid, packing, sentencepiece_stream, simhash, substring_dedup, token_counts
 from .common import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"
@@ -33,10 +34,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), largest=True)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_words(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.train(docs))
@@ -57,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_simhash": op5_simhash,
         "op6_token_counts": op6_token_counts,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
         "op10_binary_output": op10_binary_output,
