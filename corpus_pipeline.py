@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwing.llm import exact_dedup, langid, packing
+from quillwing.llm import exact_dedup, langid, packing, simhash, substring_dedup
 from quillwing.llm.common import written
 from quillwing.llm.queries import documents, tokenizer_path
 
@@ -21,6 +21,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs, largest=True)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of SimHash links the document with the smallest doc_id stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a document with a smaller doc_id has are cut; a text that loses none stays as it is. All documents stay."""
+    return substring_dedup.remove_repeats(docs, chars_col="n_chars")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of windows of 1024 tokens."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -30,6 +40,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
     ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("substring_dedup", passages),
     ("packing", packed),
 ]
 
