@@ -116,13 +116,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
             FROM t JOIN g USING (body)""",
         "op7_substring_dedup": """
-            WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+            WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
             spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
             windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM spots),
             firsts AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g),
             hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE first_id < doc_id),
             gone AS (SELECT DISTINCT doc_id, i + k AS j FROM hits, (SELECT unnest(range(0, 13)) AS k)),
             removed AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
-            kept AS (SELECT w.doc_id, ws, js, list_filter(ws, (x, j) -> js IS NULL OR NOT list_contains(js, j)) AS k FROM w LEFT JOIN removed USING (doc_id))
+            kept AS (SELECT w.doc_id, ws, js, list_filter(ws, lambda x, j: js IS NULL OR NOT list_contains(js, j)) AS k FROM w LEFT JOIN removed USING (doc_id))
             SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
     }
