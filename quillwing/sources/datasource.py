@@ -65,11 +65,11 @@ def pruned(t: AvroType, names: list[str]) -> AvroType:
 class Reading:
     """What tasks need to turn splits into Arrow batches. Options are checked here, on the driver."""
 
-    def __init__(self, options: dict, schema: T.StructType, files: list[tuple[str, int]]):
+    def __init__(self, options: dict, schema: T.StructType, files: list[tuple[str, int]], codecs: dict[str, c.Codec], transforms: dict[str, c.Codec]):
         self.options, self.schema, self.files = options, schema, files
-        self.codecs = c.codecs()
+        self.codecs = codecs
         name = options.get("bytetransform")
-        self.transform = c.transforms()[name] if name else None
+        self.transform = transforms[name] if name else None
         self.lenient = _flag(options, "ignorecorruptfiles", False)
         self.verify = _flag(options, "verifysync", True)
         self.reader = options.get("readerschema")
@@ -138,7 +138,10 @@ class BatchReader(DataSourceReader):
 
 
 class StreamReader(DataSourceStreamReader):
-    """Files as they arrive. An offset is the sorted list of files seen; ``maxFilesPerTrigger`` bounds a batch."""
+    """Files as they arrive. An offset is the sorted list of files seen; ``maxFilesPerTrigger`` bounds a batch.
+
+    With ``availableNow`` Spark asks for one latest offset and stops there, so leave the bound out.
+    """
 
     def __init__(self, path: str, reading: Reading):
         self.path, self.reading = path, reading
@@ -169,17 +172,16 @@ class StreamReader(DataSourceStreamReader):
 class Writing:
     """One file a task, written aside and moved when the job commits; checks of options happen on the driver."""
 
-    def __init__(self, path: str, options: dict, schema: T.StructType, overwrite: bool):
+    def __init__(self, path: str, options: dict, schema: T.StructType, overwrite: bool, codecs: dict[str, c.Codec], transforms: dict[str, c.Codec]):
         self.path, self.overwrite, self.names = path.rstrip("/"), overwrite, schema.names
         given = options.get("avroschema")
         self.type_json = given if given else from_spark(schema, options.get("recordname", "topLevelRecord"), options.get("recordnamespace", "")).dumps()
         t = parse(self.type_json)
         row_encoder(t, self.names if t.is_record else None)  # raises where they don't fit
         self.codec = options.get("compression") or options.get("codec") or "null"
-        known = c.codecs()
-        if self.codec not in known:
+        if self.codec not in codecs:
             raise ValueError(f"unsupported codec {self.codec!r}")
-        self.encode = known[self.codec][0]
+        self.encode = codecs[self.codec][0]
         self.block_size = int(options.get("blocksize", c.BLOCK_SIZE))
         if self.block_size < 1:
             raise ValueError("blockSize must be a positive integer")
@@ -190,7 +192,7 @@ class Writing:
         self.meta = c.check_meta({k.removeprefix("avro.meta."): v.encode() for k, v in options.items() if k.startswith("avro.meta.")})
         self.validate = _flag(options, "validate", True)
         name = options.get("bytetransform")
-        self.transform = c.transforms()[name] if name else None
+        self.transform = transforms[name] if name else None
         self.job = uuid.uuid4().hex
         self.aside = f"{self.path}/_temporary-{self.job}"
 
@@ -295,8 +297,12 @@ class AvroContainerSource(DataSource):
     ``maxFilesPerTrigger``. A user schema's columns alone are decoded, the rest skipped.
     Writing: ``avroSchema``, ``recordName``, ``recordNamespace``, ``compression``,
     ``blockSize``, ``syncMarker`` (hex), ``avro.meta.<key>``, ``validate``, ``byteTransform``.
+    Custom codecs and transformations are those known when ``register`` was called.
     """
 
+    codecs: dict[str, c.Codec] = c.BUILT_IN
+    transforms: dict[str, c.Codec] = {}
+
     @classmethod
     def name(cls) -> str:
         return NAME
@@ -318,26 +324,29 @@ class AvroContainerSource(DataSource):
         if not files:
             raise ValueError(f"no files in {self._path()}")
         name = options.get("bytetransform")
-        f, _ = c.open_input(files[0][0], c.transforms()[name] if name else None)
+        f, _ = c.open_input(files[0][0], self.transforms[name] if name else None)
         with f:
             return to_struct(c.read_header(f).schema, depth)
 
     def reader(self, schema: T.StructType) -> BatchReader:
-        return BatchReader(Reading(self._options(), schema, c.list_files(self._path())))
+        return BatchReader(Reading(self._options(), schema, c.list_files(self._path()), self.codecs, self.transforms))
 
     def streamReader(self, schema: T.StructType) -> StreamReader:
-        return StreamReader(self._path(), Reading(self._options(), schema, []))
+        return StreamReader(self._path(), Reading(self._options(), schema, [], self.codecs, self.transforms))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> BatchWriter:
-        return BatchWriter(Writing(self._path(), self._options(), schema, overwrite))
+        return BatchWriter(Writing(self._path(), self._options(), schema, overwrite, self.codecs, self.transforms))
 
     def streamWriter(self, schema: T.StructType, overwrite: bool) -> StreamWriter:
-        return StreamWriter(Writing(self._path(), self._options(), schema, False))
+        return StreamWriter(Writing(self._path(), self._options(), schema, False, self.codecs, self.transforms))
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session."""
-    spark.dataSource.register(AvroContainerSource)
+    """Make the format known to the session, with the codecs and transformations registered so far.
+
+    The class is made anew, so it is shipped by value, codecs included.
+    """
+    spark.dataSource.register(type("RegisteredAvroSource", (AvroContainerSource,), {"codecs": c.codecs(), "transforms": c.transforms()}))
 
 
 def read_avro(spark: SparkSession, path: str, columns: list[str] | None = None, **options: str) -> DataFrame:
