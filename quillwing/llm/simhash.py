@@ -23,7 +23,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """Columns doc_id, fp (long): one row for each distinct id and text.
+    """Columns doc_id, fp (long), text_hash: one row for each distinct id and text.
 
     Bit b of fp is set where more than half the shingles' hashes have bit b.
     Hashing and counting stay in the JVM: two bits' counts share a long (the low
@@ -45,7 +45,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fp = bits[0]
     for b in bits[1:]:
         fp = fp.bitwiseOR(b)
-    return sums.select("doc_id", F.coalesce(fp, F.lit(0)).alias("fp"))
+    return sums.select("doc_id", F.coalesce(fp, F.lit(0)).alias("fp"), F.col("_same").alias("text_hash"))
 
 
 class VantageTrees:
@@ -182,7 +182,7 @@ def links(fps: DataFrame, radius: int, fp_col: str = "fp") -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Columns doc_id, fp, component_id: one row for each distinct id and text.
+    """Columns doc_id, fp, component_id, text_hash: one row for each distinct id and text.
 
     Documents link where their fingerprints differ in at most ``radius`` bits;
     component_id is the smallest id reachable. Null texts are empty; texts
@@ -196,14 +196,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = written(firsts, "simhash-members")
     named = least.join(least.groupBy("component").agg(F.min("first").alias("least")), "component").select(F.col("fp").alias("node"), "least")
     table = written(fps.join(named, fps["fp"] == named["node"], "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
-    return marks.join(table, "fp").select("doc_id", "fp", "component_id")
+    return marks.join(table, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``df``, all columns, without those of a component but its smallest id; rows with a null id stay."""
+    """The rows of ``df``, all columns, without those of a component but its smallest id's.
+
+    Rows with a null id stay, and so do rows that share the smallest id.
+    """
     found = near_duplicates(df, id_col, text_col, shingle, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_qw_id"), F.col("text_hash").alias("_qw_hash"))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return df.join(gone, (F.col(id_col).cast("long") == F.col("_qw_id")) & (text == F.col("_qw_hash")), "left_anti")
 
 
 def hex_fingerprint(fp: Column) -> Column:

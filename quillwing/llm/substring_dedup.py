@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 #: UTF-8 bytes of text that one unit of work holds, and that one group of anchors or suffixes answers for.
-CHUNK_BYTES, GROUP_BYTES = 3 << 20, 64 << 20
+CHUNK_BYTES, GROUP_BYTES = 3 << 20, 16 << 20
 #: Words in an anchor: the least-hashed run of so many words stands for a window.
 ANCHOR = 7
 #: Documents whose prefixes are counted to balance the groups; results don't depend on it.
@@ -70,7 +70,7 @@ class Suffixes:
         out, width, left = np.zeros(self.count, np.uint64), 1, size
         while left:
             if left & 1:
-                out[: self.count - done] += part[done:] * power(base, done)
+                out[: max(0, self.count - done)] += part[done:] * power(base, done)
                 done += width
             left >>= 1
             if left:
@@ -129,8 +129,8 @@ class Prefixes:
         return (key % np.uint64(self.groups)).astype(np.int64)
 
 
-def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """``df`` with columns n_words, n_removed, kept: kept is the words that stay, joined by one space.
+def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """``df`` with three columns (``names``; they replace columns of these names): words, words removed, and the words that stay, joined by one space.
 
     A word goes if one of the ``window``-word windows of its document that cover
     it also starts in a document with a smaller id (windows of the texts as they
@@ -152,13 +152,14 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A passage that all documents share sends one entry a chunk, however many copies it has.
     """
     spark = df.sparkSession
+    df = df.drop(*[n for n in names if n in df.columns])
     rows, total = text_bytes(df, text_col)
     chunks, groups = max(64, -(-total // CHUNK_BYTES)), max(48, -(-total // GROUP_BYTES))
     few = df.select(F.col(text_col)).where(F.col(text_col).isNotNull()).sample(min(1.0, SAMPLE_DOCS / max(1, rows)), 11).limit(2 * SAMPLE_DOCS)
     prefixes = Prefixes.from_sample([r[0].encode("utf-8", "surrogatepass") for r in few.select(F.substring(text_col, 1, 4096)).collect()], window, groups)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 8))
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
-    docs = df.withColumn("_chunk", chunk).repartition(parts, "_chunk")
+    docs = df.withColumn("_qw_chunk", chunk).repartition(parts, "_qw_chunk")
 
     def shared_slices(s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         anchors = s.anchors()
@@ -181,7 +182,7 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = np.unique(found[1:][found[1:] == found[:-1]])
         out = [x[np.isin(x, shared, assume_unique=True)] for x in data]
         some = [i for i, x in enumerate(out) if len(x)]
-        return pa.table({"_chunk": table.column("_from").take(pa.array(some, pa.int64())).combine_chunks(), "_part": pa.array([key[0].as_py()] * len(some), pa.int32()), "_data": pa.array([_blob(out[i]) for i in some], pa.binary())})
+        return pa.table({"_qw_chunk": table.column("_from").take(pa.array(some, pa.int64())).combine_chunks(), "_part": pa.array([key[0].as_py()] * len(some), pa.int32()), "_data": pa.array([_blob(out[i]) for i in some], pa.binary())})
 
     def ids_of(table: pa.Table, s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
         """Each word's document id, and whether that is null."""
@@ -230,9 +231,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         late = late[np.argsort(origin[late], kind="stable")]
         cuts = np.searchsorted(origin[late], np.arange(table.num_rows + 1))
         some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"_chunk": table.column("_from").take(pa.array(some)).combine_chunks()} | {n: pa.array([_blob(x[late[cuts[i] : cuts[i + 1]]]) for i in some], pa.binary()) for n, x in (("_h1", h1), ("_h2", h2))} | {"_part": pa.array(np.zeros(len(some)), pa.int32()), "_data": pa.array([b""] * len(some), pa.binary())})
+        return pa.table({"_qw_chunk": table.column("_from").take(pa.array(some)).combine_chunks()} | {n: pa.array([_blob(x[late[cuts[i] : cuts[i + 1]]]) for i in some], pa.binary()) for n, x in (("_h1", h1), ("_h2", h2))} | {"_part": pa.array(np.zeros(len(some)), pa.int32()), "_data": pa.array([b""] * len(some), pa.binary())})
 
-    names = df.columns
+    columns = df.columns
 
     def mark(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         texts = _texts(table, text_col)
@@ -262,17 +263,19 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if removed[i]:
                 w = [x for x, g in zip(w, gone[ends[i] - len(w) : ends[i]].tolist(), strict=True) if not g]
             kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
-        out = table.select(names)
-        return out.append_column("n_words", pa.array(s.n_words)).append_column("n_removed", pa.array(removed)).append_column("kept", pa.array(kept, pa.string()))
+        out = table.select(columns)
+        for name, x in zip(names, (pa.array(s.n_words), pa.array(removed), pa.array(kept, pa.string())), strict=True):
+            out = out.append_column(name, x)
+        return out
 
     blob = "_data binary"
-    shared = docs.groupBy("_chunk").applyInArrow(send_anchors, f"_slice int, _from int, {blob}").groupBy("_slice").applyInArrow(meet_anchors, f"_chunk int, _part int, {blob}")
-    sent = docs.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(send_suffixes, "_group int, _from int, _h1 binary, _h2 binary, _id binary")
-    repeats = sent.groupBy("_group").applyInArrow(meet_suffixes, f"_chunk int, _h1 binary, _h2 binary, _part int, {blob}")
-    both = repeats.select("_chunk", "_h1", "_h2", "_part", "_data").unionByName(shared.select("_chunk", F.lit(None).cast("binary").alias("_h1"), F.lit(None).cast("binary").alias("_h2"), "_part", "_data"))
-    extra = "n_words long, n_removed long, kept string"
+    shared = docs.groupBy("_qw_chunk").applyInArrow(send_anchors, f"_slice int, _from int, {blob}").groupBy("_slice").applyInArrow(meet_anchors, f"_qw_chunk int, _part int, {blob}")
+    sent = docs.groupBy("_qw_chunk").cogroup(shared.groupBy("_qw_chunk")).applyInArrow(send_suffixes, "_group int, _from int, _h1 binary, _h2 binary, _id binary")
+    repeats = sent.groupBy("_group").applyInArrow(meet_suffixes, f"_qw_chunk int, _h1 binary, _h2 binary, _part int, {blob}")
+    both = repeats.select("_qw_chunk", "_h1", "_h2", "_part", "_data").unionByName(shared.select("_qw_chunk", F.lit(None).cast("binary").alias("_h1"), F.lit(None).cast("binary").alias("_h2"), "_part", "_data"))
+    extra = f"`{names[0]}` long, `{names[1]}` long, `{names[2]}` string"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return docs.groupBy("_chunk").cogroup(both.groupBy("_chunk")).applyInArrow(mark, f"{fields}, {extra}")
+    return docs.groupBy("_qw_chunk").cogroup(both.groupBy("_qw_chunk")).applyInArrow(mark, f"{fields}, {extra}")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chars_col: str | None = None) -> DataFrame:
@@ -280,9 +283,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A text that loses no word stays as it is, white space included; ``chars_col`` gets the new length in characters.
     """
-    found = repeated_words(df, id_col, text_col, window)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text_col))
-    out = found.withColumn(text_col, text)
+    names = ("_qw_words", "_qw_removed", "_qw_kept")
+    found = repeated_words(df, id_col, text_col, window, names)
+    cut = F.col("_qw_removed") > 0
+    out = found.withColumn(text_col, F.when(cut, F.col("_qw_kept")).otherwise(F.col(text_col)))
     if chars_col:
-        out = out.withColumn(chars_col, F.when(F.col("n_removed") > 0, F.char_length(text_col).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(cut, F.char_length(text_col).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out.select(*df.columns)
