@@ -138,40 +138,60 @@ class Window:
         return -1
 
 
-def blocks(f: BinaryIO, size: int, header: Header, start: int = 0, end: int | None = None, verify: bool = True) -> Iterator[tuple[int, bytes]]:
+def blocks(f: BinaryIO, size: int, header: Header, start: int = 0, end: int | None = None, verify: bool = True, probe: Callable[[int, bytes], bool] | None = None) -> Iterator[tuple[int, bytes]]:
     """(records, raw block) of every block whose preceding sync marker begins in [start, end).
 
     A range that begins inside the file looks for the next marker; bytes in a
-    block that look like one are told by the block's own marker, and passed over.
+    block that look like one aren't followed by a chain of blocks, the first of which
+    decodes (``probe``), and are passed over.
     """
     end = size if end is None else end
     w = Window(f, size, 0)
     first = header.end - SYNC_SIZE
-    sure = start <= first
-    mark = first if sure else w.find(header.sync, start)
-    while 0 <= mark < end:
-        pos = mark + SYNC_SIZE
-        if pos >= size:
-            return
-        try:
-            head = w.need(pos, 20)
-            count, i = read_varint(head, 0)
-            length, i = read_varint(head, i)
-            if count < 0 or length < 0 or pos + i + length + SYNC_SIZE > size:
-                raise AvroDataError("truncated or corrupt block")
-            body = w.need(pos + i, length + SYNC_SIZE)
-            if len(body) < length + SYNC_SIZE:
-                raise AvroDataError("truncated block")
-            if verify and body[length:] != header.sync:
-                raise AvroDataError("a block's sync marker isn't the file's")
-        except (AvroDataError, IndexError) as e:
-            if sure:
-                raise e if isinstance(e, AvroDataError) else AvroDataError("truncated block") from e
-            mark = w.find(header.sync, mark + 1)
-            continue
-        sure = True
+    mark = first if start <= first else w.find(header.sync, start)
+    while start > first and 0 <= mark < end and not _chained(w, size, header.sync, mark, probe):
+        mark = w.find(header.sync, mark + 1)
+    while 0 <= mark < end and mark + SYNC_SIZE < size:
+        count, at, length = _block(w, size, mark)
+        body = w.need(at, length + SYNC_SIZE)
+        if verify and body[length:] != header.sync:
+            raise AvroDataError("a block's sync marker isn't the file's")
         yield count, body[:length]
-        mark = pos + i + length
+        mark = at + length
+
+
+#: Blocks in a row that must fit before a marker in mid-file is believed.
+CHAIN = 4
+
+
+def _block(w: Window, size: int, mark: int) -> tuple[int, int, int]:
+    """Records, data position and data length of the block after a marker."""
+    try:
+        head = w.need(mark + SYNC_SIZE, 20)
+        count, i = read_varint(head, 0)
+        length, i = read_varint(head, i)
+    except IndexError as e:
+        raise AvroDataError("truncated block") from e
+    at = mark + SYNC_SIZE + i
+    if count < 0 or length < 0 or at + length + SYNC_SIZE > size:
+        raise AvroDataError("truncated or corrupt block")
+    return count, at, length
+
+
+def _chained(w: Window, size: int, sync: bytes, mark: int, probe: Callable[[int, bytes], bool] | None) -> bool:
+    """Whether the bytes after a marker are blocks, each with its own marker: up to CHAIN of them, or to the file's end."""
+    for _ in range(CHAIN):
+        if mark + SYNC_SIZE == size:
+            return True
+        try:
+            count, at, length = _block(w, size, mark)
+        except AvroDataError:
+            return False
+        mark = at + length
+        if w.need(mark, SYNC_SIZE) != sync or (probe is not None and not probe(count, w.need(at, length))):
+            return False
+        probe = None
+    return True
 
 
 class BlockWriter:

@@ -110,7 +110,15 @@ class Reading:
             decode, inflate = block_decoder(writer, reader), self.codecs[header.codec][1]
             columns: list[list] = [[] for _ in wanted]
             rows = 0
-            for count, raw in c.blocks(f, size, header, split.start, size if split.end < 0 else split.end, self.verify):
+
+            def probe(count: int, raw: bytes) -> bool:
+                try:
+                    decode(inflate(raw), count, [[] for _ in wanted or [0]])
+                except Exception:  # whatever a custom codec raises
+                    return False
+                return True
+
+            for count, raw in c.blocks(f, size, header, split.start, size if split.end < 0 else split.end, self.verify, probe):
                 decode(inflate(raw), count, columns if wanted else [[]])
                 rows += count
                 if rows >= BATCH_ROWS:
