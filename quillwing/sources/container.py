@@ -208,6 +208,21 @@ class BlockWriter:
         if len(self.buffer) >= self.block_size:
             self.flush()
 
+    def records(self, body: Any, ends: Any) -> None:
+        """Take many encoded records: a numpy array of bytes, and where each record ends in it."""
+        import numpy as np
+
+        start = row = 0
+        while row < len(ends):
+            # The records that fill the block: up to the first end at or beyond its size.
+            last = int(np.searchsorted(ends, start + self.block_size - len(self.buffer), "left"))
+            upto = min(last, len(ends) - 1)
+            self.buffer += body[start : ends[upto]].tobytes()
+            self.count += upto + 1 - row
+            start, row = int(ends[upto]), upto + 1
+            if len(self.buffer) >= self.block_size:
+                self.flush()
+
     def flush(self) -> None:
         if self.closed:
             raise ValueError("the writer is closed")

@@ -8,6 +8,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,16 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.codec import AvroDataError, block_decoder, plain_values, row_encoder
-from ..plans.resolve import check
+from ..operators.columnar import decode_blocks, encode_rows, is_flat, side_by_side
+from ..plans.resolve import check, field_pairs
 from ..plans.schema import AvroType, Field, SchemaError, from_spark, parse, to_struct
 from . import container as c
 
 NAME = "avro_ocf"
 SPLIT_BYTES = 32 << 20
 BATCH_ROWS = 10_000
+#: Rows that are decoded side by side at most.
+SIDE_ROWS = 400_000
 
 
 def _flag(options: dict, name: str, default: bool) -> bool:
@@ -118,7 +122,11 @@ class Reading:
                     return False
                 return True
 
-            for count, raw in c.blocks(f, size, header, split.start, size if split.end < 0 else split.end, self.verify, probe):
+            found = c.blocks(f, size, header, split.start, size if split.end < 0 else split.end, self.verify, probe)
+            if wanted and is_flat(writer) and is_flat(reader) and self._same_types(writer, reader):
+                yield from self._side_by_side(writer, reader, found, inflate, decode, kinds)
+                return
+            for count, raw in found:
                 decode(inflate(raw), count, columns if wanted else [[]])
                 rows += count
                 if rows >= BATCH_ROWS:
@@ -127,6 +135,37 @@ class Reading:
             if rows:
                 yield self._batch(columns, kinds, rows)
 
+    @staticmethod
+    def _same_types(w: AvroType, r: AvroType) -> bool:
+        """Whether the reader takes all its fields from the data with the data's types."""
+        pairs = {v: k for k, v in field_pairs(w, r).items()}
+        return all(f.name in pairs and w.field(pairs[f.name]).type.to_json() == f.type.to_json() for f in r.fields)
+
+    def _side_by_side(self, w: AvroType, r: AvroType, found: Iterator[tuple[int, bytes]], inflate: Any, decode: Any, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Decode many blocks at once; the last few one by one."""
+        counts: list[int] = []
+        bodies: list[bytes] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if counts and side_by_side(counts):
+                batch = decode_blocks(w, r, counts, bodies, kinds)
+                for at in range(0, batch.num_rows, BATCH_ROWS):
+                    yield batch.slice(at, BATCH_ROWS)
+            elif counts:
+                columns: list[list] = [[] for _ in kinds]
+                for n, body in zip(counts, bodies, strict=True):
+                    decode(body, n, columns)
+                yield self._batch(columns, kinds, sum(counts))
+            counts.clear()
+            bodies.clear()
+
+        for count, raw in found:
+            counts.append(count)
+            bodies.append(inflate(raw))
+            if sum(counts) >= SIDE_ROWS:
+                yield from out()
+        yield from out()
+
     @staticmethod
     def _batch(columns: list[list], kinds: pa.Schema, rows: int) -> pa.RecordBatch:
         if not columns:
@@ -211,6 +250,7 @@ class Writing:
         names = self.names if t.is_record else None
         types = [t.field(n).type if t.is_record and t.field(n) else t for n in self.names]
         row = row_encoder(t, names, self.validate)
+        flat = is_flat(t) and set(names or []) >= {f.name for f in t.fields}
         context = TaskContext.get()
         name = f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.avro"
         fs_, root = c.store(self.aside)
@@ -222,6 +262,14 @@ class Writing:
                 fs_.create_dir(root, recursive=True)
                 out = io.BytesIO() if self.transform else fs_.open_output_stream(f"{root}/{name}")
                 w = c.BlockWriter(out, self.type_json, self.codec, self.encode, self.sync or os.urandom(c.SYNC_SIZE), self.meta, self.block_size)
+            rows += batch.num_rows
+            if flat:
+                try:
+                    body, ends = encode_rows(t, [batch.column(names.index(f.name)) for f in t.fields])
+                except (AvroDataError, pa.ArrowInvalid) as e:
+                    raise AvroDataError(f"Record does not conform to the schema. {e}") from e
+                w.records(body, ends)
+                continue
             columns = [plain_values(x, ty) for x, ty in zip(batch.columns, types, strict=True)]
             extend = w.buffer.extend
             try:
@@ -232,7 +280,6 @@ class Writing:
                 raise AvroDataError(f"Record does not conform to the schema: {e}") from e
             except AvroDataError as e:
                 raise AvroDataError(f"Record does not conform to the schema. {e}") from e
-            rows += batch.num_rows
         if w is None:
             return Part(0, "", "")
         w.close()
