@@ -318,7 +318,7 @@ def same_schema(a: AvroType, b: AvroType) -> bool:
 # Spark types
 
 
-def spark_type(t: AvroType, recursive_depth: int = 0, path: tuple[str, ...] = (), time_as: str = "int") -> T.DataType:
+def spark_type(t: AvroType, recursive_depth: int = 0, path: tuple[str, ...] = ()) -> T.DataType:
     """The Spark type of values of ``t`` (nullability is a field's, see ``struct_field``).
 
     A recursive record is refused, or expanded ``recursive_depth`` times; beyond that it is null.
@@ -327,7 +327,7 @@ def spark_type(t: AvroType, recursive_depth: int = 0, path: tuple[str, ...] = ()
         "null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(),
         "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType(), "enum": T.StringType(), "fixed": T.BinaryType(),
     }
-    down = lambda x: spark_type(x, recursive_depth, path, time_as)
+    down = lambda x: spark_type(x, recursive_depth, path)
     if t.logical == "decimal":
         return T.DecimalType(t.precision, t.scale) if t.precision <= 38 else T.BinaryType()
     if t.logical == "uuid":

@@ -190,6 +190,17 @@ def test_protocol_rules():
         p.add_remote(P.AvroProtocol({"protocol": "P", "messages": {}}))
 
 
+def test_calls_of_a_remote_version(spark):
+    spec = lambda fields: {"protocol": "P", "messages": {"m": {"request": fields, "response": "long"}}}
+    theirs = P.AvroProtocol(spec([{"name": "gone", "type": "string"}, {"name": "n", "type": "int"}]))
+    ours = P.AvroProtocol(spec([{"name": "n", "type": "long"}, {"name": "more", "type": "string", "default": "d"}]))
+    ours.remotes[theirs.md5] = theirs
+    meta = F.create_map(F.lit("id"), P.call_id(F.lit(7)))
+    call = P.encode_call_request(meta, "m", F.struct(F.lit("x").alias("gone"), F.lit(5).alias("n")), theirs)
+    got = spark.range(1).select(P.decode_call_envelope(call).alias("e")).select(P.decode_call_params(F.col("e.params"), "m", ours, theirs.md5).alias("p"), "e.meta").first()
+    assert (got.p.n, got.p.more) == (5, "d") and bytes(got.meta["id"]) == b"\x00\x00\x00\x07"
+
+
 def test_framing_and_errors(spark):
     df = spark.createDataFrame([(bytearray(b"hello world"),), (bytearray(b""),)], "b binary")
     framed = [bytes(r[0]) for r in df.select(P.avro_frame("b", 4)).collect()]
