@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words, as a Java pattern.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-#: The same words as ``bytes.split()`` gives.
-MAX_BUCKETS = 1 << 20
+#: Ordered buckets at most: their bounds are a literal in the plan. Beyond it buckets grow, and sort with spills.
+MAX_BUCKETS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:

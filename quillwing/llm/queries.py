@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 from . import binary_output, chat, exact_dedup, fingerprints, langid, packing, sentencepiece_stream, simhash, substring_dedup, token_counts
 from .common import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def tokenizer_path(name: str) -> str:
-    """Where a public tokenizer's file lies: beside the installed package, else in TOKENIZERS."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +16,8 @@ from .common import text_bytes
 CHUNK_BYTES, GROUP_BYTES = 3 << 20, 16 << 20
 #: Words in an anchor: the least-hashed run of so many words stands for a window.
 ANCHOR = 7
-#: Documents whose prefixes are counted to balance the groups; results don't depend on it.
-SAMPLE_DOCS = 2000
+#: Bins that prefixes are counted in, at each depth.
+BINS = 4096
 #: Words of a suffix that its group may look at, shortest first; the whole window comes last.
 DEPTHS = (1, 2, 4)
 
@@ -100,33 +102,45 @@ def _blob(x: np.ndarray) -> bytes:
 
 
 class Prefixes:
-    """Which group a suffix belongs to: the first of its prefixes, of 1, 2, 4 or all words, that isn't too frequent."""
+    """Which group a suffix belongs to: by the first of its prefixes, of 1, 2, 4 or all words, whose bin isn't too frequent."""
 
     def __init__(self, groups: int, heavy: list[np.ndarray]):
         self.groups, self.heavy = groups, heavy
 
     @staticmethod
-    def from_sample(texts: list[bytes], window: int, groups: int) -> Prefixes:
-        s, heavy = Suffixes(texts, window, False), []
-        open_ = s.whole.copy()
-        total = max(1, int(open_.sum()))
-        for depth in DEPTHS:
-            keys = s.runs(depth)
-            found, n = np.unique(keys[open_], return_counts=True)
-            heavy.append(found[n * 8 * groups > total])
-            open_ &= np.isin(keys, heavy[-1])
-        return Prefixes(groups, heavy)
+    def counted(df: DataFrame, text_col: str, window: int, groups: int) -> Prefixes:
+        """From the counts of all suffixes of all texts, by bins of their prefixes' hashes.
+
+        A task adds up its texts' bins and sends at most BINS rows a depth, and so
+        does the driver get. A bin is too frequent with over an eighth of a group's share.
+        """
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(DEPTHS), BINS), np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    s = Suffixes([(t or "").encode("utf-8", "surrogatepass") for t in whole.column(0).slice(at, 256).to_pylist()], window, False)
+                    for d, depth in enumerate(DEPTHS):
+                        sums[d] += np.bincount((s.runs(depth)[s.whole] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            depth, bin_ = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(depth), pa.array(bin_), pa.array(sums[depth, bin_])], ["depth", "bin", "n"])
+
+        counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, "depth long, bin long, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n"))
+        sums = np.zeros((len(DEPTHS), BINS), np.int64)
+        for r in counts.collect():
+            sums[r["depth"], r["bin"]] = r["n"]
+        return Prefixes(groups, [np.flatnonzero(x * 8 * groups > x.sum()) for x in sums])
 
     def group(self, s: Suffixes, at: np.ndarray, full: np.ndarray) -> np.ndarray:
         key, open_ = full.copy(), np.arange(len(at))
         for depth, heavy in zip(DEPTHS, self.heavy, strict=True):
             k = s.runs(depth)[at[open_]]
-            light = ~np.isin(k, heavy)
+            light = ~np.isin((k % np.uint64(BINS)).astype(np.int64), heavy)
             key[open_[light]] = k[light]
             open_ = open_[~light]
             if not len(open_):
                 break
-        return (key % np.uint64(self.groups)).astype(np.int64)
+        return (mixed(key) % np.uint64(self.groups)).astype(np.int64)
 
 
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
@@ -153,10 +167,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     df = df.drop(*[n for n in names if n in df.columns])
-    rows, total = text_bytes(df, text_col)
+    _, total = text_bytes(df, text_col)
     chunks, groups = max(64, -(-total // CHUNK_BYTES)), max(48, -(-total // GROUP_BYTES))
-    few = df.select(F.col(text_col)).where(F.col(text_col).isNotNull()).sample(min(1.0, SAMPLE_DOCS / max(1, rows)), 11).limit(2 * SAMPLE_DOCS)
-    prefixes = Prefixes.from_sample([r[0].encode("utf-8", "surrogatepass") for r in few.select(F.substring(text_col, 1, 4096)).collect()], window, groups)
+    prefixes = Prefixes.counted(df, text_col, window, groups)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 8))
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     docs = df.withColumn("_qw_chunk", chunk).repartition(parts, "_qw_chunk")

@@ -96,7 +96,7 @@ def test_best_branches_of_reply_trees(spark):
     flat = {(t, n): round(s, 3) for t, n, _, _, _, s in rows}
     for k, path in want.items():
         assert sum(flat[k[0], n] for n in got[k]) == pytest.approx(sum(flat[k[0], n] for n in path), abs=2e-3)
-    assert all(got[k] == want[k] or True for k in want) and sum(got[k] == want[k] for k in want) > len(want) // 2
+    assert sum(got[k] == want[k] for k in want) > len(want) // 2  # branches of equal score may differ by rounding
 
 
 def test_orphans_are_roots_and_cycles_are_left_out(spark):
