@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def digest_runs(df: DataFrame, id_col: str, text_col: str, normalise=None) -> DataFrame:
     """One row a document: id, SHA-256, and what verifies a digest's equality (UTF-8 length, an unrelated 64-bit hash)."""
@@ -53,7 +55,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ``normalise`` maps a text column to the text that is compared.
     """
     runs = digest_runs(df, id_col, text_col, normalise)
-    merged = tree_merge(runs, levels=levels, largest=largest)
+    # As a table, the merged runs are dealt anew for the join, so Spark can split a digest that many rows share.
+    merged = written(tree_merge(runs, levels=levels, largest=largest), "digests")
     joined = runs.join(merged, ["digest", "size", "proof"])
     kept: Column = F.col("id").eqNullSafe(F.col("keep_id"))
     return joined.select(
@@ -62,6 +65,22 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False, levels: int = 2) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; of rows repeating id and text one stays."""
-    verdict = exact_dedup(df, id_col, text_col, largest, levels=levels).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    return df.join(verdict, df[id_col].eqNullSafe(verdict["_id"]), "left_semi")
+    """The rows of ``df`` that stay, with all their columns.
+
+    A row stays if its id is its text's keep_id; of rows that repeat both, one
+    stays (only those rows' texts are shuffled for it). Rows of a text that only null ids have: one stays.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    kept = exact_dedup(df, id_col, text_col, largest, levels=levels).where("kept")
+    verdict = kept.groupBy(F.col(id_col).alias("_qw_id"), F.unhex("text_sha256").alias("_qw_digest")).agg(F.count(F.lit(1)).alias("_qw_n"))
+    verdict = written(verdict, "kept")
+    rows = df.withColumn("_qw_digest", digest)
+
+    def of(some: DataFrame) -> DataFrame:
+        some = some.select("_qw_id", F.col("_qw_digest").alias("_qw_kept"))
+        return rows.join(some, F.col(id_col).eqNullSafe(F.col("_qw_id")) & (F.col("_qw_digest") == F.col("_qw_kept")), "left_semi")
+
+    once = of(verdict.where("_qw_n = 1"))
+    if verdict.where("_qw_n > 1").limit(1).count():
+        once = once.unionByName(of(verdict.where("_qw_n > 1")).dropDuplicates([id_col, "_qw_digest"]))
+    return once.select(*df.columns)
