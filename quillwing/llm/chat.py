@@ -46,7 +46,7 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     ``nodes`` has tree, node, parent, score. A branch's score is the sum of its
     nodes'; branches rank by score, descending, then by leaf. Self-joins double the stretch
-    that a node looks upwards, so a path of d nodes takes log2(d) joins to sum
+    that a node looks upwards, and nodes that see their root drop out, so a path of d nodes takes log2(d) joins to sum
     and as many to enumerate; every join is on (tree, node), so one tree's rows
     spread over all tasks. A node whose parent isn't in the tree is a root; nodes
     above which there is no root (cycles) are on no path. Repeated (tree, node) keep their least parent, and its least score.
@@ -55,20 +55,22 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     one = written(one, "reply-nodes")
     known = one.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     up = one.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("above"), F.lit(1).cast("long").alias("size"), F.col("score").alias("total"))
-    stretches = [written(up, "reply-up")]
-    while stretches[-1].where("above is not null").limit(1).count() and len(stretches) < 40:
-        low = stretches[-1]
-        high = low.select("tree", F.col("node").alias("above"), F.col("above").alias("_a"), F.col("size").alias("_s"), F.col("total").alias("_t"))
-        step = low.join(high, ["tree", "above"], "left").select("tree", "node", F.col("_a").alias("above"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"))
-        stretches.append(written(step, "reply-up"))
-    rooted = stretches[-1].where("above is null")
+    up = written(up, "reply-up")
+    rounds = one.count().bit_length() + 1
+    active, rooted, stretches = up.where("above is not null"), up.where("above is null"), []
+    while len(stretches) < rounds and active.limit(1).count():
+        stretches.append(active)
+        state = active.unionByName(rooted).select("tree", F.col("node").alias("above"), F.col("above").alias("_a"), F.col("size").alias("_s"), F.col("total").alias("_t"))
+        step = active.join(state, ["tree", "above"]).select("tree", "node", F.col("_a").alias("above"), (F.col("size") + F.col("_s")).alias("size"), (F.col("total") + F.col("_t")).alias("total"))
+        step = written(step, "reply-up")
+        active, rooted = step.where("above is not null"), rooted.unionByName(step.where("above is null"))
     inner = one.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "node"))
     best = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     paths = written(best.select("tree", "branch", F.col("node").alias("leaf"), (F.col("size") - 1).alias("place"), "node"), "reply-paths")
-    for k in range(len(stretches) - 2, -1, -1):
-        jump = stretches[k].where("above is not null").select("tree", "node", "above")
+    for k in range(len(stretches) - 1, -1, -1):
+        jump = stretches[k].select("tree", "node", "above")
         higher = paths.join(jump, ["tree", "node"]).select("tree", "branch", "leaf", (F.col("place") - F.lit(1 << k)).alias("place"), F.col("above").alias("node"))
         paths = written(paths.unionByName(higher), "reply-paths")
     return paths
