@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ class PieceModel:
         special = {i for i in range(size) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.ids = {p: (i, model.get_score(i)) for i, p in enumerate(self.pieces) if i not in special}
         self.longest = max(map(len, self.ids))
+        #: Every beginning of a piece: where a stretch isn't one, no longer piece starts there.
+        self.beginnings = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.unknown_score = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.raw = [bytes([int(p[3:5], 16)]) if i in set(byte) else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -76,41 +79,56 @@ class PieceModel:
 class StreamingViterbi:
     """Viterbi over characters that arrive bit by bit.
 
-    It keeps the characters since the last commitment. A new piece can start
-    only at the last ``longest`` boundaries, so only the paths that end there
+    It keeps the characters since the last commitment. A boundary's pieces are
+    tried once the longest of them has arrived, so new pieces start only at the
+    boundaries from ``next`` on, at most ``longest`` of them, and only the paths that end there
     survive. Once they all pass one boundary, the ids up to it are committed
     and the window before it is dropped.
     """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.text, self.score, self.back = "", [0.0], [0]  # by boundary; back: where its best piece starts
+        self.text, self.next = "", 0
+        self.score, self.back = [0.0], [0]  # by boundary; back: where its best piece starts
         self.widest = 0
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
-        m, longest = self.model, self.model.longest
+        longest = self.model.longest
         for i in range(0, len(chars), longest):
-            self.text += chars[i : i + longest]
-            for end in range(len(self.score), len(self.text) + 1):
-                best, start = self.score[end - 1] + m.unknown_score, end - 1
-                for begin in range(max(0, end - longest), end):
-                    found = m.ids.get(self.text[begin:end])
-                    if found is not None:
-                        s = self.score[begin] + found[1]
-                        if s > best or (s == best and start == end - 1 and begin < start):
-                            best, start = s, begin
-                self.score.append(best)
-                self.back.append(start)
+            self._take(chars[i : i + longest])
+            self._relax(len(self.text) - longest + 1)
             self.widest = max(self.widest, len(self.text))
-            if len(self.text) > longest:
+            if self.next:
                 out += self._commit(self._meeting())
         return out
 
+    def _take(self, chars: str) -> None:
+        self.text += chars
+        self.score += [-math.inf] * len(chars)
+        self.back += [0] * len(chars)
+
+    def _relax(self, end: int) -> None:
+        """Try all pieces that start before ``end``."""
+        text, score, back, ids, beginnings = self.text, self.score, self.back, self.model.ids, self.model.beginnings
+        n, unknown, longest = len(text), self.model.unknown_score, self.model.longest
+        for begin in range(self.next, end):
+            base = score[begin]
+            if base + unknown > score[begin + 1]:
+                score[begin + 1], back[begin + 1] = base + unknown, begin
+            for stop in range(begin + 1, min(n, begin + longest) + 1):
+                piece = text[begin:stop]
+                found = ids.get(piece)
+                if found is not None:
+                    if base + found[1] > score[stop]:
+                        score[stop], back[stop] = base + found[1], begin
+                elif piece not in beginnings:
+                    break
+        self.next = max(self.next, end)
+
     def _meeting(self) -> int:
         """The last boundary that every surviving path passes."""
-        n = len(self.text)
-        alive = set(range(max(0, n - self.model.longest + 1), n + 1))
+        alive = {b for b in range(self.next, len(self.text) + 1) if b == self.next or self.score[b] > -math.inf}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
@@ -129,9 +147,11 @@ class StreamingViterbi:
         self.text, base = self.text[end:], self.score[end]
         self.score = [s - base for s in self.score[end:]]
         self.back = [max(0, b - end) for b in self.back[end:]]
+        self.next = max(0, self.next - end)
         return out
 
     def finish(self) -> list[int]:
+        self._relax(len(self.text))
         return self._commit(len(self.text))
 
 
