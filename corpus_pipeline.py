@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwing.llm import exact_dedup, langid, packing, simhash, substring_dedup
+from quillwing.llm import exact_dedup, langid, near_copies, packing, substring_dedup
 from quillwing.llm.common import written
 from quillwing.llm.queries import documents, tokenizer_path
 
@@ -22,8 +22,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of SimHash links the document with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each component of texts with a five-word similarity of 0.8 or more the document with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can't express the network, the fingerprints' components or the packing.
+#: SQL can't express the network, the similar texts' components or the packing.
 ORACLE_SQL: str | None = None
 
 
