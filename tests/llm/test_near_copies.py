@@ -84,3 +84,11 @@ def test_prefixes_of_similar_sets_meet():
         h, doc, n, at = near_copies.prefixes(np.concatenate([a, a[:3], b]), np.array([len(a) + len(a[:3]), len(b)]), np.sort(whole[::3]), Fraction(4, 5))
         if 5 * len(set(a) & set(b)) >= 4 * len(set(whole)):
             assert set(h[doc == 0]) & set(h[doc == 1])
+
+
+def test_repeated_lines_alone_link_nothing(spark):
+    """Lines repeated often set a text's fingerprint, not its set of shingles: texts with words of their own stay."""
+    r = random.Random(8)
+    line = " ".join(f"line{k}" for k in range(9))
+    rows = [(k, " ".join([line] * 40 + [f"own{r.random()}" for _ in range(100)])) for k in range(20)]
+    assert near(spark, rows) == list(range(20))
