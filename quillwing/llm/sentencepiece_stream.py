@@ -51,6 +51,9 @@ class PieceModel:
             _models[path] = PieceModel(path)
         return _models[path]
 
+    def _stream(self) -> StreamingViterbi:
+        return StreamingViterbi(self)
+
     def _unknown(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.byte) == 256 else [self.unknown_id]
 
@@ -63,7 +66,7 @@ class PieceModel:
         for word in WORD.findall(marked) if self.words_apart else [marked]:
             ids = self.known.get(word)
             if ids is None:
-                stream = StreamingViterbi(self)
+                stream = self._stream()
                 ids = (*stream.feed(word), *stream.finish())
                 if len(self.known) < CACHE_WORDS and self.words_apart:
                     self.known[word] = ids
@@ -155,6 +158,106 @@ class StreamingViterbi:
         return self._commit(len(self.text))
 
 
+class MergeModel(PieceModel):
+    """A BPE model file read as such: the ids are those that its merges leave."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.apart: dict[tuple[str, str], bool] = {}
+
+    @staticmethod
+    def of(path: str) -> PieceModel:
+        """The file's model, by the type it names."""
+        if ("merges", path) not in _models:
+            _models["merges", path] = MergeModel(path) if _is_bpe(path) else PieceModel.of(path)
+        return _models["merges", path]
+
+    def _stream(self) -> StreamingViterbi:
+        return StreamingMerges(self)
+
+    def merged(self, text: str) -> list[str]:
+        """The symbols that merging leaves of a short text: the best score first, the leftmost of equals."""
+        parts, ids = list(text), self.ids
+        while len(parts) > 1:
+            best, at = -math.inf, -1
+            for i in range(len(parts) - 1):
+                found = ids.get(parts[i] + parts[i + 1])
+                if found is not None and found[1] > best:
+                    best, at = found[1], i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def follows(self, left: str, piece: str) -> bool:
+        """Whether merging keeps ``left`` and ``piece`` apart and each whole."""
+        found = self.apart.get((left, piece))
+        if found is None:
+            found = self.merged(left + piece) == ([left, piece] if left else [piece])
+            if len(self.apart) < CACHE_WORDS:
+                self.apart[left, piece] = found
+        return found
+
+
+class StreamingMerges(StreamingViterbi):
+    """The same search, where a piece may follow another only if merging keeps the two apart.
+
+    Of all paths to a boundary just one is left, the merges of the text up to it; its score is 0.
+    """
+
+    def __init__(self, model: MergeModel):
+        super().__init__(model)
+        self.left = ""
+
+    def _relax(self, end: int) -> None:
+        text, score, back, ids, beginnings = self.text, self.score, self.back, self.model.ids, self.model.beginnings
+        n, longest, follows = len(text), self.model.longest, self.model.follows
+        for begin in range(self.next, end):
+            left = text[back[begin] : begin] if begin else self.left
+            for stop in range(begin + 1, min(n, begin + longest) + 1):
+                piece = text[begin:stop]
+                if (piece in ids or stop == begin + 1) and score[stop] == -math.inf and follows(left, piece):
+                    score[stop], back[stop] = 0.0, begin
+                elif piece not in beginnings:
+                    break
+        self.next = max(self.next, end)
+
+    def _commit(self, end: int) -> list[int]:
+        if end:
+            self.left = self.text[self.back[end] : end]
+        return super()._commit(end)
+
+
+def _is_bpe(path: str) -> bool:
+    """Whether the file's trainer settings (field 2) name BPE (2) as the model type (field 3)."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                size = {1: 8, 5: 4}.get(tag & 7) or number()
+                yield tag >> 3, data[at : at + size]
+                at += size
+
+    with open(path, "rb") as f:
+        return any(k == 3 and v == 2 for key, value in fields(f.read()) if key == 2 for k, v in fields(value))
+
+
 OUT = "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
@@ -162,7 +265,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Columns doc_id, ids (array of int): the whole text's ids. Null and empty texts have no ids; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel.of(model_path)
+        model = MergeModel.of(model_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -190,7 +293,7 @@ def encode_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel.of(model_path)
+        model = MergeModel.of(model_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b, rows = whole.slice(at, 256), []

@@ -106,6 +106,21 @@ def test_sentencepiece_round_trip(docs, docs_rows, no_docs):
     assert sentencepiece_stream.encode_digest(no_docs, MODEL).count() == 0
 
 
+def test_ids_are_the_librarys(docs, docs_rows):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    model = sentencepiece_stream.MergeModel.of(MODEL)
+    for text in HARD + noise(5, 300):
+        assert model.encode(text) == library.encode(text), text
+    got = {r.doc_id: r.ids for r in sentencepiece_stream.encode_texts(docs, MODEL).collect()}
+    assert got == {i: library.encode(t or "") for i, t in docs_rows}
+    stream = sentencepiece_stream.StreamingMerges(model)
+    text = "▁" + "etaoinshrdlu" * 300
+    ids = [i for k in range(0, len(text), 7) for i in stream.feed(text[k : k + 7])]
+    assert ids + stream.finish() == library.encode(text[1:]) and stream.widest < 12 * model.longest
+
+
 def test_karmarkar_karp_balances():
     r = random.Random(1)
     for ways in (1, 2, 5, 12):
