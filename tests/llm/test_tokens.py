@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ HARD = ["", "a  b \n\n c ", " lead", "x<|endoftext|> y", "a\xa0 b", "tab\tq\r\n
 
 def noise(seed, n):
     r = random.Random(seed)
-    return ["".join(r.choice("abcdeinors  é▁\n-=.") for _ in range(r.randint(1, 200))) for _ in range(n)]
+    return ["".join(r.choice("abcdeinors  é▁\n-=.\t") for _ in range(r.randint(1, 200))) for _ in range(n)]
 
 
 @pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -27,9 +28,12 @@ def test_chunked_encoding_is_the_librarys(name, lead, docs_rows, monkeypatch):
     for texts in (HARD, [t for _, t in docs_rows], noise(1, 300), HARD + noise(1, 300)):
         ids, counts = encoder.encode(texts)
         want = [e.ids for e in encoder.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        known = len(encoder.codes)
         assert counts.tolist() == [len(x) for x in want]
         assert ids.tolist() == [i for x in want for i in x]
-    assert len(encoder.codes) <= 500
+        assert len(encoder.codes) == known
+    encoder.encode(["x"])
+    assert len(encoder.codes) == 1  # with more than it may keep, it starts over
 
 
 def test_token_counts_are_the_librarys(spark, docs, docs_rows, no_docs):
@@ -39,6 +43,10 @@ def test_token_counts_are_the_librarys(spark, docs, docs_rows, no_docs):
     merger = token_counts.RankMerger.of(MODEL)
     for texts in (HARD, noise(2, 500), noise(3, 500)):
         assert merger.count(texts).tolist() == [len(library.encode(t)) for t in texts]
+    for text in (" " * 200_000, "=-" * 100_000, "a" * 200_000, "".join(random.Random(6).choices("etaoinshr", k=100_000))):
+        began = time.process_time()
+        assert merger.count([text, "a  b"]).tolist() == [len(library.encode(text)), len(library.encode("a  b"))]
+        assert time.process_time() - began < 10
     got = {r.doc_id: r for r in token_counts.token_counts(docs, MODEL, limit=50).collect()}
     for i, t in docs_rows:
         n = len(library.encode(t or ""))
@@ -199,6 +207,11 @@ def test_token_files_round_trip(spark, docs, docs_rows, no_docs):
     shard = binary_output.open_shard(path, binary_output.read_manifest(path)["shards"][0]["name"])
     first = min(i for i, _ in docs_rows)
     assert shard.get(first)[0][-1] == 2 and shard.get(10**12) == []
+    files = binary_output.TokenFiles(path, kept=2)
+    assert len(files.shards) > 2
+    for i, t in docs_rows:
+        assert [x.tolist() for x in files.get(i)] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+    assert files.get(7) == files.get(-10**9) == files.get(10**12) == [] and len(files.opened) == 2
     with pytest.raises(ValueError, match="magic"):
         binary_output.unpack_arrays(b"other bytes")
     empty = common.scratch_path(spark, "test-files")
@@ -213,3 +226,17 @@ def test_token_files_of_odd_rows(spark, odd_docs):
     assert sorted(r.start for r in rows)[0] == 0 and len({r.start for r in rows}) == len(rows) == odd_docs.count()
     shard = binary_output.open_shard(path, binary_output.read_manifest(path)["shards"][0]["name"])
     assert len(shard.get(5)) == 3 and len(shard.get(9)) == 1
+    files = binary_output.TokenFiles(path)
+    assert [len(files.get(k)) for k in (5, 9, 2, 3)] == [3, 1, 1, 0]
+    assert [x.tolist() for x in files.get(5)] == [x.tolist() for x in shard.get(5)]
+
+
+def test_counts_and_ids_of_odd_rows(odd_docs):
+    """Null ids and repeated rows have rows of their own; null texts have no ids."""
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    got = token_counts.token_counts(odd_docs, MODEL).collect()
+    assert sorted(((r.doc_id, r.n_bytes) for r in got), key=repr) == sorted(((i, len((t or "").encode())) for i, t in rows), key=repr)
+    ids = sentencepiece_stream.encode_texts(odd_docs, MODEL)
+    back = sorted(((r.doc_id, r.text) for r in sentencepiece_stream.decode_ids(ids, MODEL).collect()), key=repr)
+    assert back == sorted(((i, t or "") for i, t in rows), key=repr)
+    assert sentencepiece_stream.encode_digest(odd_docs, MODEL).count() == len(rows)
