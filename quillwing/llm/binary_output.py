@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 import zlib
@@ -107,12 +108,12 @@ def unpack_arrays(data: bytes) -> tuple[dict, dict[str, np.ndarray]]:
 
 
 class Shard:
-    """One shard's index and payload. ``get`` gives the ids of every document under a key in constant time."""
+    """One shard's index, and its payload if given. ``get`` gives the ids of every document under a key in constant time."""
 
-    def __init__(self, index: bytes, payload: bytes):
+    def __init__(self, index: bytes, payload: bytes | None):
         self.head, a = unpack_arrays(index)
-        self.ids = np.frombuffer(payload, self.head["dtype"])
-        if len(self.ids) != self.head["n_ids"]:
+        self.ids = np.frombuffer(payload or b"", self.head["dtype"])
+        if payload is not None and len(self.ids) != self.head["n_ids"]:
             raise ValueError("the payload's length isn't the index's")
         self.keys, self.null, self.offsets, self.first, self.copies = a["keys"], a["null"], a["offsets"], a["first"], a["copies"]
         sizes = self.head["levels"]
@@ -158,7 +159,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     its own attempt and reports them, so a lost or repeated task leaves only
     files that no manifest names. The driver gets one row a shard. Null ids come
     first, unkeyed; rows that repeat an id lie side by side under one key, in
-    the texts' order. Null texts are empty.
+    the texts' order. Null texts are empty. Other columns are ignored. The
+    manifest has each shard's range of keys, for ``TokenFiles``.
     """
     count = max(1, -(-text_bytes(df, text_col)[1] // shard_bytes))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -189,12 +191,14 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
         with store.open_output_stream(f"{root}/{name}.idx") as out:
             out.write(Shard.index(np.concatenate(keys), np.concatenate(null), offsets, dtype.str))
-        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [len(offsets) - 1], "n_ids": [int(offsets[-1])]})
+        keyed = np.concatenate(keys)[~np.concatenate(null)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, name, len(offsets) - 1, int(offsets[-1]), *((keyed[0], keyed[-1]) if len(keyed) else (None, None))), kinds, strict=True)], names)
 
-    rows = sorted(tuple(r) for r in docs.mapInArrow(run, "part long, name string, n_docs long, n_ids long").collect())
+    names, kinds = ["part", "name", "n_docs", "n_ids", "low", "high"], [pa.int64(), pa.string(), *[pa.int64()] * 4]
+    rows = sorted(docs.mapInArrow(run, "part long, name string, n_docs long, n_ids long, low long, high long").collect(), key=lambda r: r[0])
     shards, start = [], 0
-    for _, name, n_docs, n_ids in rows:
-        shards.append({"name": name, "start": start, "n_docs": n_docs, "n_ids": n_ids})
+    for _, name, n_docs, n_ids, low, high in rows:
+        shards.append({"name": name, "start": start, "n_docs": n_docs, "n_ids": n_ids, "low": low, "high": high})
         start += n_ids
     store, root = _store(path)
     store.create_dir(root, recursive=True)
@@ -215,6 +219,45 @@ def open_shard(path: str, name: str) -> Shard:
         return Shard(i.read(), p.read())
 
 
+class TokenFiles:
+    """Keyed access over all shards below ``path``.
+
+    Shards hold contiguous ranges of keys, so the manifest's ranges name the one
+    shard that may have a key (a binary search in memory), its perfect hash the
+    place there: one lookup opens one index, kept for ``kept`` shards, and reads
+    one stretch of one payload, whatever the number of documents.
+    """
+
+    def __init__(self, path: str, kept: int = 16):
+        self.path, self.kept = path, kept
+        self.shards = [s for s in read_manifest(path)["shards"] if s["low"] is not None]
+        self.highs = [s["high"] for s in self.shards]
+        self.opened: dict[str, Shard] = {}
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document under ``key``, in the files' order; none if no document has it."""
+        at = bisect.bisect_left(self.highs, key)
+        if at == len(self.shards) or key < self.shards[at]["low"]:
+            return []
+        name = self.shards[at]["name"]
+        store, root = _store(self.path)
+        if name not in self.opened:
+            while len(self.opened) >= self.kept:
+                self.opened.pop(next(iter(self.opened)))
+            with store.open_input_stream(f"{root}/{name}.idx") as f:
+                self.opened[name] = Shard(f.read(), None)
+        shard = self.opened[name]
+        place = int(shard.places(np.array([key], np.int64))[0])
+        if place < 0 or int(shard.keys[place]) != key:
+            return []
+        last = int(np.searchsorted(shard.keys, key, "right")) if place + 1 < len(shard.keys) and shard.keys[place + 1] == key else place + 1
+        begin, end = int(shard.offsets[place]), int(shard.offsets[last])
+        kind = np.dtype(shard.head["dtype"])
+        with store.open_input_file(f"{root}/{name}.ids") as f:
+            ids = np.frombuffer(f.read_at((end - begin) * kind.itemsize, begin * kind.itemsize), kind)
+        return [ids[a - begin : b - begin] for a, b in zip(shard.offsets[place:last], shard.offsets[place + 1 : last + 1], strict=True)]
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Columns doc_id, start, n_tokens, ids_crc32: every document, found by its key through the index and checked against the payload.
 
