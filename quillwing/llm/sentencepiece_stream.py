@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _models: dict = {}
@@ -163,7 +164,17 @@ class MergeModel(PieceModel):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.steps: dict[str, tuple[bool, list[tuple[float, str, str]]]] = {}
+        #: By left id * size + id of the piece after it: whether merging keeps the two apart.
+        self.apart: dict[int, bool] = {}
+        self.size = len(self.pieces)
+        #: Finds the pieces that end at each character, the longest first; pieces that merging alone doesn't make are in no encoding.
+        self.finder = ahocorasick.Automaton()
+        for p, (i, _) in self.ids.items():
+            if self.merges(p)[0]:
+                self.finder.add_word(p, (len(p), i))
+        self.finder.make_automaton()
+        self.steps.clear()
 
     @staticmethod
     def of(path: str) -> PieceModel:
@@ -175,57 +186,110 @@ class MergeModel(PieceModel):
     def _stream(self) -> StreamingViterbi:
         return StreamingMerges(self)
 
-    def merged(self, text: str) -> list[str]:
-        """The symbols that merging leaves of a short text: the best score first, the leftmost of equals."""
-        parts, ids = list(text), self.ids
-        while len(parts) > 1:
-            best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                found = ids.get(parts[i] + parts[i + 1])
-                if found is not None and found[1] > best:
-                    best, at = found[1], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def follows(self, left: str, piece: str) -> bool:
-        """Whether merging keeps ``left`` and ``piece`` apart and each whole."""
-        found = self.apart.get((left, piece))
-        if found is None:
-            found = self.merged(left + piece) == ([left, piece] if left else [piece])
-            if len(self.apart) < CACHE_WORDS:
-                self.apart[left, piece] = found
+    def merges(self, text: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """Whether merging a short text leaves it whole, and its merges: score, first and last symbol after it.
+
+        The best score goes first, the leftmost of equals.
+        """
+        known = self.steps.get(text)
+        if known is None:
+            parts, ids, steps = list(text), self.ids, []
+            while len(parts) > 1:
+                best, at = -math.inf, -1
+                for i in range(len(parts) - 1):
+                    found = ids.get(parts[i] + parts[i + 1])
+                    if found is not None and found[1] > best:
+                        best, at = found[1], i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append((best, parts[0], parts[-1]))
+            known = self.steps[text] = len(parts) == 1, steps
+        return known
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether merging keeps the two pieces apart.
+
+        Until a merge crosses the boundary, both sides merge as they do alone.
+        So their merges are played in turn, the better score first, and the two
+        symbols at the boundary are held against the next of each.
+        """
+        if len(self.apart) >= CACHE_WORDS:
+            self.apart.clear()
+        found = self.apart[left * self.size + right] = self._follows(self.pieces[left], self.pieces[right])
         return found
 
+    def _follows(self, left: str, right: str) -> bool:
+        ids, nothing = self.ids, (-math.inf, "", "")
+        before, after = self.merges(left)[1], self.merges(right)[1]
+        last, first, i, j = left[-1], right[0], 0, 0
+        while True:
+            one = before[i] if i < len(before) else nothing
+            two = after[j] if j < len(after) else nothing
+            across = ids.get(last + first)
+            if across is not None and across[1] > one[0] and across[1] >= two[0]:
+                return False
+            if one is nothing and two is nothing:
+                return True
+            if one[0] >= two[0]:
+                last, i = one[2], i + 1
+            else:
+                first, j = two[1], j + 1
+
 
 class StreamingMerges(StreamingViterbi):
     """The same search, where a piece may follow another only if merging keeps the two apart.
 
-    Of all paths to a boundary just one is left, the merges of the text up to it; its score is 0.
+    Of all paths to a boundary just one is left, the merges of the text up to
+    it; its score is 0. So a boundary looks back over the pieces that end there,
+    the longest first, until one may follow the path to where it starts.
     """
 
     def __init__(self, model: MergeModel):
         super().__init__(model)
-        self.left = ""
+        #: By boundary the id of the piece that ends there: -1 for an unknown character, -2 before the text.
+        self.last, self.done = [-2], 0
+
+    def _take(self, chars: str) -> None:
+        self.text += chars
+        self.score += [0.0] * len(chars)
+        self.back += range(len(self.back) - 1, len(self.back) + len(chars) - 1)
+        self.last += [-1] * len(chars)
 
     def _relax(self, end: int) -> None:
-        text, score, back, ids, beginnings = self.text, self.score, self.back, self.model.ids, self.model.beginnings
-        n, longest, follows = len(text), self.model.longest, self.model.follows
-        for begin in range(self.next, end):
-            left = text[back[begin] : begin] if begin else self.left
-            for stop in range(begin + 1, min(n, begin + longest) + 1):
-                piece = text[begin:stop]
-                if (piece in ids or stop == begin + 1) and score[stop] == -math.inf and follows(left, piece):
-                    score[stop], back[stop] = 0.0, begin
-                elif piece not in beginnings:
-                    break
+        back, last, apart, size = self.back, self.last, self.model.apart, self.model.size
+        offset = max(0, self.done - self.model.longest)
+        settled = self.done
+        for at, (length, piece) in self.model.finder.iter(self.text[offset:] if offset else self.text):
+            stop = at + offset + 1
+            begin = stop - length
+            if stop <= settled or begin < 0:
+                continue
+            if length > 1:  # the last one left needs no test: some piece ends there
+                left = last[begin]
+                if left >= 0:
+                    fits = apart.get(left * size + piece)
+                    if fits is None:
+                        fits = self.model.follows(left, piece)
+                    if not fits:
+                        continue
+            back[stop], last[stop], settled = begin, piece, stop
+        self.done = len(self.text)
         self.next = max(self.next, end)
 
     def _commit(self, end: int) -> list[int]:
-        if end:
-            self.left = self.text[self.back[end] : end]
-        return super()._commit(end)
+        out, at, text, back, last = [], end, self.text, self.back, self.last
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += reversed(self.model._unknown(text[back[at] : at]))
+            at = back[at]
+        out.reverse()
+        self.text, self.score, self.last = text[end:], self.score[end:], last[end:]
+        self.back = [max(0, b - end) for b in back[end:]]
+        self.next, self.done = max(0, self.next - end), self.done - end
+        return out
 
 
 def _is_bpe(path: str) -> bool:
@@ -288,6 +352,8 @@ def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 def encode_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row an input row: doc_id, n_chars, n_ids, ids_crc32 (little-endian uint32), and the decoded ids' SHA-256 against the text's.
 
+    Null and empty texts have no ids; null ids and repeated rows have a row each; whole texts of any length are encoded; other columns are ignored.
+
     A text that holds the space mark itself, or a leading space that the model merges away, doesn't round-trip; ``round_trip`` says so.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
