@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ CACHE_WORDS = 1_000_000
 SPACE = "▁"
 WORD = re.compile(rb" *[^ ]+| +")
 NONE = np.iinfo(np.int32).max
+#: Characters of a pre-token that shares its rounds with others.
+LONG = 2048
 
 _mergers: dict = {}
 
@@ -25,10 +28,11 @@ class RankMerger:
     Pieces never hold a space mark after another character, so a text falls
     into pre-tokens (space marks, then a word) that merge independently. A batch
     of pre-tokens is one flat array of symbol ids. In each round every pre-token
-    applies its lowest-ranked pair, at all its places that don't overlap; where
-    such a merge could make a pair of a rank as low (pieces reached by several
-    splits), only the leftmost place, as the model's own queue would. Finished
-    pre-tokens leave the arrays.
+    applies its lowest-ranked pair, at all its places that don't overlap.
+    Finished pre-tokens leave the arrays. So do those where such a merge could
+    make a pair of a rank as low (pieces reached by several splits, pieces of one
+    rank), and those of over LONG characters, whose many rounds would each pass
+    over the batch: a queue merges them alone, place by place.
     """
 
     def __init__(self, path: str):
@@ -56,6 +60,7 @@ class RankMerger:
         self.rank_of = np.full(size, NONE, np.int32)
         for p, i in piece.items():
             self.rank_of[i] = order[scores[p]]
+        self.made_of = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
         self.counts: dict[bytes, int] = {}
 
     @staticmethod
@@ -73,6 +78,39 @@ class RankMerger:
     def _rank(self, made: np.ndarray) -> np.ndarray:
         return np.where(made >= 0, self.rank_of[made], NONE)
 
+    def _left_alone(self, sym: np.ndarray) -> int:
+        """Symbols that merging leaves of one pre-token: the lowest rank first, the leftmost of equals, from a queue of (rank, place)."""
+        n, made_of, rank_of = len(sym), self.made_of, self.rank_of.tolist()
+        rank = self._rank(self._pairs(sym[:-1], sym[1:])).astype(np.int64)
+        at = np.flatnonzero(rank != NONE)
+        queue = np.sort(rank[at] << 40 | at).tolist()  # a sorted list is a heap
+        symbol, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        left = n
+
+        def offer(i: int, j: int) -> None:
+            a, b = symbol[i], symbol[j]
+            made = made_of.get(a << 32 | b, -1) if a >= 0 and b >= 0 else -1
+            if made >= 0:
+                heapq.heappush(queue, rank_of[made] << 40 | i)
+
+        while queue:
+            item = heapq.heappop(queue)
+            i = item & (1 << 40) - 1
+            j = after[i]
+            if symbol[i] == -2 or j >= n or symbol[i] < 0 or symbol[j] < 0:
+                continue
+            made = made_of.get(symbol[i] << 32 | symbol[j], -1)
+            if made < 0 or rank_of[made] != item >> 40:
+                continue  # one of the two has merged since
+            symbol[i], symbol[j], after[i] = made, -2, after[j]
+            left -= 1
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return left
+
     def merge_counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token (space marks written out)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -82,6 +120,12 @@ class RankMerger:
         width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
         owner = np.repeat(np.arange(len(words)), sizes)
         out = np.bincount(owner, weights=np.where(sym < 0, width - 1, 0), minlength=len(words)).astype(np.int64)
+        if (sizes > LONG).any():
+            ends = np.cumsum(sizes)
+            for k in np.flatnonzero(sizes > LONG).tolist():
+                out[k] += self._left_alone(sym[ends[k] - sizes[k] : ends[k]])
+            short = np.repeat(sizes <= LONG, sizes)
+            sym, owner = sym[short], owner[short]
         made = np.append(self._pairs(sym[:-1], sym[1:]), -1) if len(sym) else sym
         if len(sym):
             made[np.append(owner[:-1] != owner[1:], True)] = -1
@@ -117,8 +161,15 @@ class RankMerger:
                 if low.any():
                     risky = np.zeros(len(out), bool)
                     risky[own[low]] = True
-                    keep = ~risky[own] | np.append(True, own[1:] != own[:-1])
+                    for k in np.flatnonzero(risky[owner[first]]).tolist():
+                        out[owner[first[k]]] += self._left_alone(sym[first[k] : first[k] + lengths[k]])
+                    stay = ~risky[owner]
+                    shift, keep = np.cumsum(~stay), ~risky[own]
                     hit, new = hit[keep], new[keep]
+                    hit -= shift[hit]
+                    sym, owner, made = sym[stay], owner[stay], made[stay]
+                    if not len(sym):
+                        break
             sym[hit] = new
             gone = np.zeros(len(sym), bool)
             gone[hit + 1] = True
