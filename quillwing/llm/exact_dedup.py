@@ -20,32 +20,38 @@ def digest_runs(df: DataFrame, id_col: str, text_col: str, normalise=None) -> Da
     )
 
 
-def tree_merge(runs: DataFrame, levels: int = 2, fan_in_bits: int = 4, largest: bool = False) -> DataFrame:
+def tree_merge(runs: DataFrame, levels: int | None = None, fan_in_bits: int = 4, largest: bool = False) -> DataFrame:
     """Merge the partitions' runs into one row a distinct text: keep_id, group_size.
 
-    Partition p holds a run. In each round the runs of 2^fan_in_bits neighbours
-    of the binomial tree meet (p loses its last fan_in_bits bits), dealt over all
-    tasks by digest, so no task ever holds a whole run: one sorted pass over
-    equal (digest, size, proof) keeps the smallest (or largest) id and adds the
-    counts. The last round merges all runs that are left. Spark combines on the
-    sending side first, so a text with any number of copies sends one entry a
-    partition and round.
+    Partition p holds a run. Round r exchanges among the 2^fan_in_bits runs whose
+    numbers agree but for bits r * fan_in_bits and up, as in a binomial tree:
+    p loses its last fan_in_bits bits. So P runs take log(P) / fan_in_bits rounds
+    (``levels`` fixes their number), and the last merges the few that are left.
+
+    A run is sorted by (digest, size, proof) before it is sent, with one entry a
+    distinct text: its id so far, verified by size and proof, and its count. What
+    meets is merged in that order by one sorted pass, which again keeps one entry.
+    (An id held in a struct makes Spark aggregate by sorting on both sides of the
+    exchange rather than by hashing.) Pieces of a run are dealt over all tasks by digest, so
+    no task holds a whole run, and a text with any number of copies sends one
+    entry a run and round.
     """
-    keep = F.max if largest else F.min
-    merged = runs.select("digest", "size", "proof", "id", F.lit(1).cast("long").alias("n"), F.spark_partition_id().alias("at"))
+    if levels is None:
+        highest = runs.select(F.spark_partition_id().alias("at")).agg(F.max("at")).first()[0] or 0
+        levels = max(1, -(-highest.bit_length() // fan_in_bits))
+    entry = F.when(F.col("id").isNotNull(), F.struct("id"))
+    merged = runs.select("digest", "size", "proof", entry.alias("best"), F.lit(1).cast("long").alias("n"), F.spark_partition_id().alias("at"))
     for r in range(levels):
-        last = r == levels - 1
+        run = [] if r == levels - 1 else ["at"]
         merged = (
             merged.withColumn("at", F.shiftright("at", fan_in_bits))
-            .groupBy("digest", "size", "proof", *([] if last else ["at"]))
-            .agg(keep("id").alias("id"), F.sum("n").alias("n"))
+            .groupBy(*run, "digest", "size", "proof")
+            .agg((F.max if largest else F.min)("best").alias("best"), F.sum("n").alias("n"))
         )
-        if not last:
-            merged = merged.sortWithinPartitions("digest")
-    return merged.select("digest", "size", "proof", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    return merged.select("digest", "size", "proof", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False, normalise=None, levels: int = 2) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False, normalise=None, levels: int | None = None) -> DataFrame:
     """Columns id_col, keep_id, group_size, kept, text_sha256: one row for every input row.
 
     Null texts count as empty. ``keep_id`` is the smallest (``largest``: largest)
@@ -64,7 +70,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False, levels: int = 2) -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False, levels: int | None = None) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
     A row stays if its id is its text's keep_id; of rows that repeat both, one
