@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -34,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands memory that this Python worker has freed back to the system; workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters other than ASCII white space."""
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")

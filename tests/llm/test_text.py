@@ -176,3 +176,30 @@ def test_network_gradient():
     assert (net.probabilities(x).argmax(1) == np.arange(80) % 2).mean() > 0.97
     short, _ = langid.byte_windows(["abcabcab abcab"])
     assert net.probabilities(short).argmax() == 1
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark):
+    """Many languages, one id that many rows repeat, null ids."""
+    rows = [(k, f"{chr(0x4E00 + k % 300)} " * 20, f"l{k % 300:03}") for k in range(900)] + [(1, f"words {k} " * 5, "l001") for k in range(600)] + [(None, "x y", "never")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+
+    class Spy(langid.ByteConvNet):
+        def fit(self, x, y, **settings):
+            taken.append(len(x))
+
+    original, langid.ByteConvNet = langid.ByteConvNet, Spy
+    try:
+        net = langid.train(df, max_docs=30, least_docs=2)
+    finally:
+        langid.ByteConvNet = original
+    assert net.classes == sorted({lang for i, _, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 5})
+    assert len(net.classes) > 290
+    assert taken[0] <= 300 * 2 * 2
+
+
+def test_prediction_of_odd_rows(spark, docs, odd_docs):
+    net = langid.train(docs)
+    got = langid.predict(odd_docs, net).collect()
+    assert len(got) == odd_docs.count() and sum(r.doc_id is None for r in got) == 2
+    assert all(r.score == 0 for r in got if r.lang_pred == "und")
