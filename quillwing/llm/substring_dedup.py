@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import give_back, text_bytes
 
 #: UTF-8 bytes of text that one unit of work holds, and that one group of anchors or suffixes answers for.
-CHUNK_BYTES, GROUP_BYTES = 3 << 20, 16 << 20
-#: Words in an anchor: the least-hashed run of so many words stands for a window.
+CHUNK_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
+#: Words in an anchor: the least-hashed run of so many words in a window partitions it.
 ANCHOR = 7
-#: Bins that prefixes are counted in, at each depth.
-BINS = 4096
-#: Words of a suffix that its group may look at, shortest first; the whole window comes last.
-DEPTHS = (1, 2, 4)
-
-_rng = np.random.default_rng(20240607)
-BYTE_CODES = _rng.integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
-STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: An anchor that so many chunks share is frequent: its windows are partitioned by all their words.
+FREQUENT = 24
+STEP = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,48 +29,57 @@ def power(base: int, k: int) -> np.uint64:
     return np.uint64(pow(base, k, 1 << 64))
 
 
-class Suffixes:
-    """The words of a chunk's texts, as 64-bit codes, and hashes of the runs that start at each word."""
+def word_codes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each word, from its bytes eight at a time.
 
-    def __init__(self, texts: list[bytes], window: int, second: bool):
+    Each step mixes all bits before the next eight bytes come, so, unlike in a
+    polynomial, no pattern of letters cancels out; words of up to eight bytes
+    that differ and are of one length never share a code.
+    """
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, np.uint64)
+    code = mixed(lengths.astype(np.uint64) * np.uint64(STEP) + np.uint64(1))
+    open_, at, left = np.arange(len(starts)), starts, lengths
+    while len(open_):
+        short = np.minimum(left, 8).astype(np.uint64)
+        mask = np.where(short == 8, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(8) * (short % np.uint64(8)))) - np.uint64(1))
+        code[open_] = mixed((code[open_] ^ (eights[at] & mask)) * np.uint64(STEP) + np.uint64(0x632BE59BD9B4E019))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    return code
+
+
+class Words:
+    """The words of a chunk's texts as codes, and hashes of the runs that start at each word."""
+
+    def __init__(self, texts: list[bytes], window: int):
         self.window = window
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        joined = b" ".join(texts) + b" " * 8
+        data = np.frombuffer(joined, np.uint8)
         apart = np.append(True, (data == 32) | ((data >= 9) & (data <= 13)))
         starts = np.flatnonzero(apart[:-1] & ~apart[1:])
-        ends = np.flatnonzero(apart[1:] & ~apart[:-1])
+        lengths = np.flatnonzero(apart[1:] & ~apart[:-1]) - starts
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(sizes + 1) - (sizes + 1)
         self.doc = np.searchsorted(begin, starts, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.count = len(starts)
-        length = ends - starts
-        self.words = []
-        inside = ~apart[1:]
-        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        letters = data[inside]
-        cut = np.cumsum(length) - length
-        for which in range(1 + second):
-            powers = np.ones(int(length.max()) if len(length) else 1, np.uint64)
-            powers[1:] = np.uint64(STEP[which])
-            powers = np.multiply.accumulate(powers)
-            terms = BYTE_CODES[which][letters] * powers[place]
-            self.words.append(mixed(np.add.reduceat(terms, cut)) if len(cut) else np.zeros(0, np.uint64))
-        tail = np.arange(self.count) + window - 1
+        self.codes = word_codes(joined, starts, lengths)
+        last = np.arange(self.count) + window - 1
         #: Places whose next ``window`` words lie in one text.
-        self.whole = (tail < self.count) & (self.doc == self.doc[np.minimum(tail, self.count - 1)]) if self.count else np.zeros(0, bool)
+        self.whole = (last < self.count) & (self.doc == self.doc[np.minimum(last, self.count - 1)]) if self.count else np.zeros(0, bool)
 
-    def runs(self, size: int, which: int = 0) -> np.ndarray:
+    def runs(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each place on (beyond the end: of fewer). Runs double, so it takes log2(size) passes."""
-        base, part, done = STEP[1 - which], self.words[which], 0
+        part, done = self.codes, 0
         out, width, left = np.zeros(self.count, np.uint64), 1, size
         while left:
             if left & 1:
-                out[: max(0, self.count - done)] += part[done:] * power(base, done)
+                out[: max(0, self.count - done)] += part[done:] * power(STEP, done)
                 done += width
             left >>= 1
             if left:
                 wider = part.copy()
-                wider[: max(0, self.count - width)] += part[width:] * power(base, width)
+                wider[: max(0, self.count - width)] += part[width:] * power(STEP, width)
                 part, width = wider, 2 * width
         return mixed(out)
 
@@ -92,55 +94,74 @@ class Suffixes:
             least, width = shifted, width + by
         return least
 
+    def classes(self, at: np.ndarray, ids: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, first): the places ``at`` with equal windows side by side, by id and place; and where a new window begins.
 
-def _texts(table: pa.Table, text_col: str) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in table.column(text_col).to_pylist()]
+        Hashes (``run``) order them, the words' codes decide: windows that share a hash without being equal are put in order by their codes.
+        """
+        order = np.lexsort((at, ids, run))
+        differ = run[order[1:]] != run[order[:-1]]
+        place = at[order]
+        other = np.zeros(len(differ), bool)
+        for k in range(self.window):
+            other |= self.codes[place[1:] + k] != self.codes[place[:-1] + k]
+        if (other & ~differ).any():
+            order = np.lexsort((at, ids, *(self.codes[at + k] for k in range(self.window))))
+            place = at[order]
+            other = np.zeros(len(differ), bool)
+            for k in range(self.window):
+                other |= self.codes[place[1:] + k] != self.codes[place[:-1] + k]
+        return order, np.append(True, other)[: len(order)]
+
+
+class Subtree:
+    """The suffix tree over some stretches of words, as its sorted suffixes and the words that neighbours have in common.
+
+    ``codes`` has the stretches one after another, ``sizes`` their words.
+    Suffixes are the places with at least ``window`` words left in their stretch.
+    ``lcp[i]`` counts the first words that suffix i shares with the one before it;
+    an internal node of depth d is a run of suffixes with lcp of d or more.
+    """
 
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, window: int):
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        left = ends - np.arange(len(codes))
+        places = np.flatnonzero(left >= window)
+        known, word = np.unique(codes, return_inverse=True)
+        bits = max(1, int(len(known)).bit_length())
+        each, keys = 64 // bits, []  # numbers of so many words fit one key
+        for k in range(0, window, each):
+            key = np.zeros(len(places), np.uint64)
+            for i in range(k, min(k + each, window)):
+                key = key << np.uint64(bits) | word[places + i].astype(np.uint64)
+            keys.append(key)
+        self.places = places[np.lexsort(keys[::-1])]
+        self.lcp = np.zeros(len(places), np.int64)
+        open_ = np.arange(1, len(places))
+        for k in range(int(sizes.max()) if len(sizes) else 0):
+            a, b = self.places[open_ - 1], self.places[open_]
+            open_ = open_[(left[a] > k) & (left[b] > k)]
+            open_ = open_[word[self.places[open_ - 1] + k] == word[self.places[open_] + k]]
+            self.lcp[open_] += 1
+            if not len(open_):
+                break
 
-def _blob(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each sorted suffix the number of its internal node of that depth (or its leaf)."""
+        return np.cumsum(self.lcp < depth) - 1
 
 
-class Prefixes:
-    """Which group a suffix belongs to: by the first of its prefixes, of 1, 2, 4 or all words, whose bin isn't too frequent."""
+def _blob(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
-    def __init__(self, groups: int, heavy: list[np.ndarray]):
-        self.groups, self.heavy = groups, heavy
 
-    @staticmethod
-    def counted(df: DataFrame, text_col: str, window: int, groups: int) -> Prefixes:
-        """From the counts of all suffixes of all texts, by bins of their prefixes' hashes.
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
 
-        A task adds up its texts' bins and sends at most BINS rows a depth, and so
-        does the driver get. A bin is too frequent with over an eighth of a group's share.
-        """
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(DEPTHS), BINS), np.int64)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    s = Suffixes([(t or "").encode("utf-8", "surrogatepass") for t in whole.column(0).slice(at, 256).to_pylist()], window, False)
-                    for d, depth in enumerate(DEPTHS):
-                        sums[d] += np.bincount((s.runs(depth)[s.whole] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-            depth, bin_ = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(depth), pa.array(bin_), pa.array(sums[depth, bin_])], ["depth", "bin", "n"])
-
-        counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, "depth long, bin long, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n"))
-        sums = np.zeros((len(DEPTHS), BINS), np.int64)
-        for r in counts.collect():
-            sums[r["depth"], r["bin"]] = r["n"]
-        return Prefixes(groups, [np.flatnonzero(x * 8 * groups > x.sum()) for x in sums])
-
-    def group(self, s: Suffixes, at: np.ndarray, full: np.ndarray) -> np.ndarray:
-        key, open_ = full.copy(), np.arange(len(at))
-        for depth, heavy in zip(DEPTHS, self.heavy, strict=True):
-            k = s.runs(depth)[at[open_]]
-            light = ~np.isin((k % np.uint64(BINS)).astype(np.int64), heavy)
-            key[open_[light]] = k[light]
-            open_ = open_[~light]
-            if not len(open_):
-                break
-        return (mixed(key) % np.uint64(self.groups)).astype(np.int64)
+def _cut(x: np.ndarray, part: np.ndarray, parts: np.ndarray) -> list[bytes]:
+    """The values of ``x`` of each of ``parts``; ``part`` is sorted."""
+    return [_blob(x[a:b]) for a, b in zip(np.searchsorted(part, parts), np.searchsorted(part, parts, "right"), strict=True)]
 
 
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
@@ -153,123 +174,122 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. Texts are dealt once into chunks of about CHUNK_BYTES; every later step
        reuses that exchange.
-    2. A window's anchor depends on its words alone, so windows that are equal
-       have equal anchors. Each chunk sends its distinct anchors (32 bits each,
-       about one for four words); anchors seen in two chunks come back.
-    3. Only suffixes whose anchor is shared can repeat. A chunk sends one entry
-       for each distinct one (128-bit hash of the window's words, least id) to a
-       group chosen by a prefix of the suffix, of 1, 2, 4 or all words: frequent prefixes take more words,
-       so groups stay of a size. In a group the sorted entries are a suffix tree's
-       nodes at depth ``window``: a run of equal entries is an internal node, a repeat, with its least id.
-    4. Chunks get back the repeats that a smaller id elsewhere has, and mark words.
-
-    A passage that all documents share sends one entry a chunk, however many copies it has.
+    2. A window's anchor depends on its words alone, so equal windows have equal
+       anchors. Each chunk sends its distinct anchors (32 bits each, about one
+       for four words); those seen in two chunks come back, marked where many chunks have them.
+    3. Only suffixes whose anchor is shared can repeat elsewhere. A chunk sends one
+       suffix for each distinct window (its least id). Neighbours that share an
+       anchor travel as one stretch of words, to the group that the anchor's 7
+       words choose; suffixes with a frequent anchor go to groups that all
+       their words choose, so groups stay of a size. A group sorts its suffixes,
+       takes the common prefixes of neighbours and so has its subtree: an
+       internal node of depth ``window`` or more is a repeat, with its least id.
+    4. Chunks get back the places of suffixes that a smaller id elsewhere has, and mark words.
+
+    A passage that all documents share sends one stretch a chunk, however many copies it has.
     """
     spark = df.sparkSession
     df = df.drop(*[n for n in names if n in df.columns])
     _, total = text_bytes(df, text_col)
-    chunks, groups = max(64, -(-total // CHUNK_BYTES)), max(48, -(-total // GROUP_BYTES))
-    prefixes = Prefixes.counted(df, text_col, window, groups)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 8))
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
-    docs = df.withColumn("_qw_chunk", chunk).repartition(parts, "_qw_chunk")
-
-    def shared_slices(s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        anchors = s.anchors()
-        return anchors, (anchors % np.uint64(groups)).astype(np.int64), (anchors >> np.uint64(32)).astype(np.uint32)
+    chunks, groups = max(64, -(-total // CHUNK_BYTES)), max(8, -(-total // GROUP_BYTES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    docs = df.withColumn("_qw_chunk", F.pmod(F.xxhash64(*spread), F.lit(chunks)).cast("int")).repartition(max(least, -(-chunks // 8)), "_qw_chunk")
+
+    def read(table: pa.Table) -> tuple[pa.Table, list[bytes], Words]:
+        """The chunk's rows in an order that each step finds again."""
+        give_back()
+        table = table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending"), (text_col, "ascending")]))
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(text_col).to_pylist()]
+        return table, texts, Words(texts, window)
+
+    def known(table: pa.Table, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Places of whole windows of documents with an id, and each word's id."""
+        column = table.column(id_col).combine_chunks().cast(pa.int64())
+        return np.flatnonzero(words.whole & ~np.asarray(column.is_null())[words.doc]), np.asarray(column.fill_null(0))[words.doc]
 
     def send_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        s = Suffixes(_texts(table, text_col), window, False)
-        anchors, _, _ = shared_slices(s)
-        distinct = np.unique(anchors[s.whole])
-        part = (distinct % np.uint64(groups)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(groups + 1))
-        high = (distinct >> np.uint64(32)).astype(np.uint32)[by]
-        some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"_slice": pa.array(some, pa.int32()), "_from": pa.array(np.full(len(some), key[0].as_py()), pa.int32()), "_data": pa.array([_blob(np.unique(high[cuts[i] : cuts[i + 1]])) for i in some], pa.binary())})
+        table, _, words = read(table)
+        distinct = np.unique(words.anchors()[known(table, words)[0]]) if words.count else np.zeros(0, np.uint64)
+        part = (distinct % np.uint64(groups)).astype(np.int32)
+        code = np.unique(part.astype(np.uint64) << np.uint64(32) | distinct >> np.uint64(32))
+        part, high = (code >> np.uint64(32)).astype(np.int32), code.astype(np.uint32)
+        some = np.unique(part)
+        return pa.table({"_slice": pa.array(some, pa.int32()), "_from": pa.array(np.full(len(some), key[0].as_py()), pa.int32()), "_data": pa.array(_cut(high, part, some), pa.binary())})
 
     def meet_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         data = [np.frombuffer(x, np.uint32) for x in table.column("_data").to_pylist()]
-        found = np.sort(np.concatenate(data))
-        shared = np.unique(found[1:][found[1:] == found[:-1]])
+        found, n = np.unique(np.concatenate(data), return_counts=True)
+        shared, often = found[n > 1], found[n >= FREQUENT]
         out = [x[np.isin(x, shared, assume_unique=True)] for x in data]
         some = [i for i, x in enumerate(out) if len(x)]
-        return pa.table({"_qw_chunk": table.column("_from").take(pa.array(some, pa.int64())).combine_chunks(), "_part": pa.array([key[0].as_py()] * len(some), pa.int32()), "_data": pa.array([_blob(out[i]) for i in some], pa.binary())})
-
-    def ids_of(table: pa.Table, s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's document id, and whether that is null."""
-        column = table.column(id_col).combine_chunks().cast(pa.int64())
-        return np.asarray(column.fill_null(0))[s.doc], np.asarray(column.is_null())[s.doc]
-
-    def candidates(table: pa.Table, back: pa.Table):
-        """The suffixes that may repeat: place, both hashes, id."""
-        s = Suffixes(_texts(table, text_col), window, True)
-        anchors, part, high = shared_slices(s)
-        ids, null = ids_of(table, s) if s.count else (np.zeros(0, np.int64), np.zeros(0, bool))
-        at = np.flatnonzero(s.whole & ~null)
-        likely = np.zeros(s.count, bool)
-        code = part.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)
-        told = [np.uint64(p) << np.uint64(32) | np.frombuffer(d, np.uint32).astype(np.uint64) for p, d in zip(back.column("_part").to_pylist(), back.column("_data").to_pylist(), strict=True)]
-        if told:
-            likely |= np.isin(code, np.concatenate(told))
-        if len(at):  # and anchors that two ids of this chunk share
-            by = at[np.lexsort((ids[at], anchors[at]))]
-            same = (anchors[by[1:]] == anchors[by[:-1]]) & (ids[by[1:]] != ids[by[:-1]])
-            likely |= np.isin(anchors, anchors[by[1:][same]])
-        at = at[likely[at]]
-        return s, at, s.runs(window)[at], s.runs(window, 1)[at], ids[at]
+        return pa.table({
+            "_qw_chunk": table.column("_from").take(pa.array(some, pa.int64())).combine_chunks(), "_part": pa.array([key[0].as_py()] * len(some), pa.int32()),
+            "_data": pa.array([_blob(out[i]) for i in some], pa.binary()), "_often": pa.array([_blob(np.intersect1d(out[i], often)) for i in some], pa.binary()),
+        })
 
     def send_suffixes(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
-        s, at, h1, h2, ids = candidates(table, back)
-        by = np.lexsort((ids, h2, h1))
-        first = np.append(True, (h1[by[1:]] != h1[by[:-1]]) | (h2[by[1:]] != h2[by[:-1]]))[: len(by)]
-        by = by[first]
-        group = prefixes.group(s, at[by], h1[by])
-        order = np.argsort(group, kind="stable")
-        by, group = by[order], group[order]
-        cuts = np.searchsorted(group, np.arange(groups + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"_group": pa.array(some, pa.int32()), "_from": pa.array(np.full(len(some), key[0].as_py()), pa.int32())} | {n: pa.array([_blob(x[by[cuts[i] : cuts[i + 1]]]) for i in some], pa.binary()) for n, x in (("_h1", h1), ("_h2", h2), ("_id", ids))})
+        table, _, words = read(table)
+        kinds = {"_group": pa.int32(), "_from": pa.int32(), "_at": pa.binary(), "_size": pa.binary(), "_id": pa.binary(), "_codes": pa.binary()}
+        if not words.count or not back.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+        anchors = words.anchors()
+        code = (anchors % np.uint64(groups)) << np.uint64(32) | anchors >> np.uint64(32)
+
+        def told(column: str) -> np.ndarray:
+            parts = zip(back.column("_part").to_pylist(), back.column(column).to_pylist(), strict=True)
+            return np.concatenate([np.uint64(p) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for p, x in parts])
+
+        at, ids = known(table, words)
+        at = at[np.isin(code[at], told("_data"))]
+        run = words.runs(window)
+        order, first = words.classes(at, ids[at], run[at])
+        at = np.sort(at[order[first]])  # the least id's, of each distinct window
+        often = np.isin(code[at], told("_often"))
+        new = np.append(True, (np.diff(at) != 1) | (code[at[1:]] != code[at[:-1]]) | (words.doc[at[1:]] != words.doc[at[:-1]]))[: len(at)] | often
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(at))) + window - 1
+        group = np.where(often[begin], mixed(run[at[begin]]) % np.uint64(groups), anchors[at[begin]] % np.uint64(groups)).astype(np.int32)
+        by = np.argsort(group, kind="stable")
+        begin, size, group = at[begin[by]], size[by], group[by]
+        some = np.unique(group)
+        ends = np.cumsum(size)
+        codes = words.codes[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        columns = [some, np.full(len(some), key[0].as_py()), _cut(begin.astype(np.int32), group, some), _cut(size.astype(np.int32), group, some), _cut(ids[begin] if len(begin) else ids[:0], group, some), _cut(codes, np.repeat(group, size), some)]
+        return pa.table({n: pa.array(x, t) for (n, t), x in zip(kinds.items(), columns, strict=True)})
 
     def meet_suffixes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        columns = [[np.frombuffer(x, t) for x in table.column(n).to_pylist()] for n, t in (("_h1", np.uint64), ("_h2", np.uint64), ("_id", np.int64))]
-        h1, h2, ids = (np.concatenate(c) for c in columns)
-        origin = np.repeat(np.arange(table.num_rows), [len(x) for x in columns[0]])
-        by = np.lexsort((ids, h2, h1))
-        h1, h2, ids, origin = h1[by], h2[by], ids[by], origin[by]
-        first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-        least = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
-        late = np.flatnonzero(ids > least)
-        late = late[np.argsort(origin[late], kind="stable")]
-        cuts = np.searchsorted(origin[late], np.arange(table.num_rows + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"_qw_chunk": table.column("_from").take(pa.array(some)).combine_chunks()} | {n: pa.array([_blob(x[late[cuts[i] : cuts[i + 1]]]) for i in some], pa.binary()) for n, x in (("_h1", h1), ("_h2", h2))} | {"_part": pa.array(np.zeros(len(some)), pa.int32()), "_data": pa.array([b""] * len(some), pa.binary())})
+        give_back()
+        begin, size, ids, codes = (_joined(table.column(n), t) for n, t in (("_at", np.int32), ("_size", np.int32), ("_id", np.int64), ("_codes", np.uint64)))
+        origin = np.repeat(np.arange(table.num_rows), [len(x) // 4 for x in table.column("_at").to_pylist()])
+        size = size.astype(np.int64)
+        tree = Subtree(codes, size, window)
+        stretch = np.repeat(np.arange(len(size)), size)[tree.places]
+        id_, node = ids[stretch], tree.nodes(window)
+        least = np.minimum.reduceat(id_, np.flatnonzero(np.diff(node, prepend=-1)))[node] if len(node) else id_
+        late = np.flatnonzero(id_ > least)
+        stretch = stretch[late]
+        place = (begin[stretch] + tree.places[late] - (np.cumsum(size) - size)[stretch]).astype(np.int32)
+        by = np.argsort(origin[stretch], kind="stable")
+        place, source = place[by], origin[stretch][by]
+        some = np.unique(source)
+        return pa.table({"_qw_chunk": table.column("_from").take(pa.array(some)).combine_chunks(), "_at": pa.array(_cut(place, source, some), pa.binary())})
 
     columns = df.columns
 
     def mark(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
-        texts = _texts(table, text_col)
-        told = back.filter(pc.is_valid(back.column("_h1"))) if back.num_rows else back
-        s, at, h1, h2, ids = candidates(table, back)
-        elsewhere = np.zeros(len(at), bool)
-        if told.num_rows:
-            g1 = np.concatenate([np.frombuffer(x, np.uint64) for x in told.column("_h1").to_pylist()])
-            g2 = np.concatenate([np.frombuffer(x, np.uint64) for x in told.column("_h2").to_pylist()])
-            order = np.argsort(g1, kind="stable")
-            g1, g2 = g1[order], g2[order]
-            spot = np.searchsorted(g1, h1)
-            inside = np.minimum(spot, len(g1) - 1)
-            elsewhere = (g1[inside] == h1) & (g2[inside] == h2)
-        by = np.lexsort((ids, h2, h1))
-        first = np.append(True, (h1[by[1:]] != h1[by[:-1]]) | (h2[by[1:]] != h2[by[:-1]]))[: len(by)]
-        least = ids[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else ids
-        here = np.zeros(len(at), bool)
-        here[by] = ids[by] > least
-        hit = at[elsewhere | here]
-        gone = np.cumsum(np.bincount(hit, minlength=s.count + 1) - np.bincount(hit + window, minlength=s.count + 1))[: s.count] > 0
-        removed = np.bincount(s.doc[gone], minlength=len(texts)).astype(np.int64)
-        ends = np.cumsum(s.n_words)
+        table, texts, words = read(table)
+        hit = np.zeros(0, np.int64)
+        if words.count:
+            at, ids = known(table, words)
+            order, first = words.classes(at, ids[at], words.runs(window)[at])
+            place, node = at[order], np.cumsum(first) - 1
+            start = np.flatnonzero(first)
+            elsewhere = np.isin(place[start], _joined(back.column("_at"), np.int32))  # the window's least id here sent it
+            hit = place[elsewhere[node] | (ids[place] > ids[place[start]][node])] if len(place) else place
+        gone = np.cumsum(np.bincount(hit, minlength=words.count + 1) - np.bincount(hit + window, minlength=words.count + 1))[: words.count] > 0
+        removed = np.bincount(words.doc[gone], minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum(words.n_words)
         kept = []
         for i, t in enumerate(texts):
             w = t.split()
@@ -277,18 +297,17 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 w = [x for x, g in zip(w, gone[ends[i] - len(w) : ends[i]].tolist(), strict=True) if not g]
             kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
         out = table.select(columns)
-        for name, x in zip(names, (pa.array(s.n_words), pa.array(removed), pa.array(kept, pa.string())), strict=True):
+        for name, x in zip(names, (pa.array(words.n_words), pa.array(removed), pa.array(kept, pa.string())), strict=True):
             out = out.append_column(name, x)
         return out
 
-    blob = "_data binary"
-    shared = docs.groupBy("_qw_chunk").applyInArrow(send_anchors, f"_slice int, _from int, {blob}").groupBy("_slice").applyInArrow(meet_anchors, f"_qw_chunk int, _part int, {blob}")
-    sent = docs.groupBy("_qw_chunk").cogroup(shared.groupBy("_qw_chunk")).applyInArrow(send_suffixes, "_group int, _from int, _h1 binary, _h2 binary, _id binary")
-    repeats = sent.groupBy("_group").applyInArrow(meet_suffixes, f"_qw_chunk int, _h1 binary, _h2 binary, _part int, {blob}")
-    both = repeats.select("_qw_chunk", "_h1", "_h2", "_part", "_data").unionByName(shared.select("_qw_chunk", F.lit(None).cast("binary").alias("_h1"), F.lit(None).cast("binary").alias("_h2"), "_part", "_data"))
+    many = max(least, groups)
+    shared = docs.groupBy("_qw_chunk").applyInArrow(send_anchors, "_slice int, _from int, _data binary").repartition(many, "_slice").groupBy("_slice").applyInArrow(meet_anchors, "_qw_chunk int, _part int, _data binary, _often binary")
+    sent = docs.groupBy("_qw_chunk").cogroup(shared.groupBy("_qw_chunk")).applyInArrow(send_suffixes, "_group int, _from int, _at binary, _size binary, _id binary, _codes binary")
+    repeats = sent.repartition(many, "_group").groupBy("_group").applyInArrow(meet_suffixes, "_qw_chunk int, _at binary")
     extra = f"`{names[0]}` long, `{names[1]}` long, `{names[2]}` string"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return docs.groupBy("_qw_chunk").cogroup(both.groupBy("_qw_chunk")).applyInArrow(mark, f"{fields}, {extra}")
+    return docs.groupBy("_qw_chunk").cogroup(repeats.groupBy("_qw_chunk")).applyInArrow(mark, f"{fields}, {extra}")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chars_col: str | None = None) -> DataFrame:
