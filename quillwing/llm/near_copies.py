@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: prefixes of ordered shingle sets find every pair, the whole sets verify it."""
+"""Near copies by the Jaccard similarity of word shingles: prefixes of ordered shingle sets give every candidate pair, the whole sets verify it."""
 
 from __future__ import annotations
 
@@ -10,35 +10,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, text_bytes, words, written
-from .simhash import ascii_lower
+from .common import give_back, written
+from .substring_dedup import STEP, Words, mixed
 
-#: Texts whose shingles are counted for the order, and frequent shingles at most (they go to every worker).
-SAMPLE, FREQUENT = 20_000, 100_000
+#: Bins that shingles are counted in, over all texts; the driver gets one number a bin.
+BINS = 1 << 17
+#: Words of 64 bits in a set's parities, at least; a power of two.
+PARITY_WORDS = 4
 #: Bytes of text whose prefixes share a group, about half a million rows.
 GROUP_BYTES = 16 << 20
-PREFIX = "h long, key long, n int, at int"
+#: Texts that a task remembers, to send what equal texts share once.
+REMEMBERED = 1 << 20
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+PREFIX = "group int, h long, key long, n int, at int"
 
 
-def _text(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def text_key(text_col: str) -> Column:
+    """Equal texts have equal keys."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def shingles(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Columns key (the text's hash), h (its shingles' hashes, with repeats): a text of fewer words is one shingle, one without a word the empty shingle."""
-    text = _text(text_col)
-    hashed = df.select(F.xxhash64(text).alias("key"), F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)).alias("_w"))
-    rest = "".join(f", get(_w, i + {k})" for k in range(1, shingle))
-    many = f"transform(slice(_w, 1, size(_w) - {shingle - 1}), (w, i) -> xxhash64(w{rest}))"
-    return hashed.select("key", F.expr(f"case when size(_w) >= {shingle} then {many} else array(xxhash64(array_join(transform(_w, w -> string(w)), ' '))) end").alias("h"))
+def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes (ascending) of each text's set of shingles, A-Z in lower case, one text after another, and the sets' sizes.
 
+    A text of fewer words has one shingle, all of them; one without a word the empty shingle.
+    """
+    words = Words([(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts], shingle)
+    h, doc = [words.runs(shingle)[words.whole]], [words.doc[words.whole]]
+    first = np.cumsum(words.n_words) - words.n_words
+    for k in range(shingle):
+        short = np.flatnonzero(words.n_words == k)
+        if len(short):
+            h.append(mixed(words.runs(k)[first[short]] + np.uint64(k)) if k else np.full(len(short), STEP, np.uint64))
+            doc.append(short)
+    h, doc = np.concatenate(h), np.concatenate(doc)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    return h[fresh], np.bincount(doc[fresh], minlength=len(texts))
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, hashes, sizes) of the texts of each 512 rows (key, text); a text that the task remembers is left out."""
+    give_back()
+    seen: set[int] = set()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            b = whole.slice(at, 512)
+            new = {}
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    new[key] = text
+            if new:
+                if len(seen) < REMEMBERED:
+                    seen.update(new)
+                yield np.array(list(new), np.int64), *shingle_sets(list(new.values()), shingle)
+
+
+def frequent_bins(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Which bins of shingles more than twice as many texts have as have a bin on average; their shingles come last in the order.
+
+    All texts are counted: a task adds up its texts and sends at most BINS numbers.
+    """
 
-def frequent_shingles(df: DataFrame, texts: int, text_col: str, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample have; they come last in the order, so prefixes seldom hold them."""
-    sample = df.where(F.pmod(F.xxhash64(F.lit(1), _text(text_col)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, texts)) * (1 << 30)))
-    each = shingles(sample, text_col, shingle).dropDuplicates(["key"]).select(F.explode(F.array_distinct("h")).alias("h"))
-    found = each.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toArrow()
-    return np.sort(found.column("h").to_numpy())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BINS, np.int64)
+        for _, h, _ in set_batches(batches, shingle):
+            sums += np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["bin", "n"])
+
+    found = docs.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(BINS, np.int64)
+    sums[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    return sums > max(2.0, 2 * sums.mean())
 
 
 def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,12 +92,10 @@ def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, least: Frac
     Two sets of similarity ``least`` or more share so many shingles that these beginnings share one, whatever the order.
     """
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
+    late = frequent[(h % np.uint64(BINS)).astype(np.int64)]
     order = np.lexsort((h, late, doc))
     h, doc = h[order], doc[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
-    h, doc = h[fresh], doc[fresh]
-    n = np.bincount(doc, minlength=len(sizes))
+    n = sizes
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     n = n[doc]
     first = at <= n - -(-n * least.numerator // least.denominator)
@@ -86,42 +129,75 @@ def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, la
     return out[:, 0], out[:, 1]
 
 
-def verified(pairs: DataFrame, df: DataFrame, text_col: str, shingle: int, least: Fraction) -> DataFrame:
-    """Columns a, b: the pairs whose whole shingle sets have a similarity of ``least`` or more."""
-    pairs = written(pairs.distinct(), "near-pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = df.select(F.xxhash64(_text(text_col)).alias("key"), F.col(text_col).alias("text")).join(keys, "key", "left_semi")
-    sets = shingles(texts, "text", shingle).select("key", F.array_distinct("h").alias("h")).dropDuplicates(["key"])
-    sets = written(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("y")), "b")
-    up, down = least.numerator, least.denominator
-    return written(both.where(F.size(F.array_intersect("x", "y")) * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b"), "near-links")
+def parities(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each set, as 64-bit words one set after another, and each set's number of words: whether an odd number of its hashes fall on the bit.
+
+    Two sets' bits differ at no more places than the sets have hashes apart from
+    each other. A set has at least as many bits as hashes, a power of two; words
+    k and k + half of them, one xor the other, are the same set's half as many bits.
+    """
+    words = np.maximum(PARITY_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 64)).clip(0).astype(np.int64))
+    start = np.cumsum(words) - words
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (h >> np.uint64(20) & (64 * words[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(64 * start[doc] + bit, minlength=64 * int(words.sum())) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), words
+
+
+def parity_difference(a: str, b: str) -> Column:
+    """Places at which two columns of parities differ; one may have twice the words of the other, which is folded then."""
+    half = lambda c: f"zip_with(slice({c}, 1, cast(size({c}) / 2 as int)), slice({c}, cast(size({c}) / 2 as int) + 1, cast(size({c}) / 2 as int)), (x, y) -> x ^ y)"
+    folded = lambda c, d: f"if(size({c}) > size({d}), {half(c)}, {c})"
+    return F.expr(f"aggregate(zip_with({folded(a, b)}, {folded(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def links(df: DataFrame, text_col: str = "text", shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """Columns a, b: verified pairs of text hashes whose components are those of all pairs of similarity ``least`` or more.
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Columns a, b: the pairs whose whole shingle sets have a similarity of ``least`` or more.
 
-    First neighbours by size among the texts of a shingle are verified, which
-    joins crowds of near copies; then all pairs whose components still differ.
+    ``marks`` has key, n and parity of every text's set. Pairs whose sizes or
+    parities rule that similarity out go first; only the others' sets are moved.
     """
-    texts, total = text_bytes(df, text_col)
-    groups = total // GROUP_BYTES + 1
-    frequent = frequent_shingles(df, texts, text_col, shingle)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, h, sizes in set_batches(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(h.view(np.int64)))], ["key", "h"])
+
+    up, down = least.numerator, least.denominator
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: marks.select(F.col("key").alias(c), F.col("n").alias(f"_n{c}"), F.col("parity").alias(f"_p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("_na", "_nb") * down >= F.greatest("_na", "_nb") * up)
+    possible = both.where(parity_difference("_pa", "_pb") * (up + down) <= (F.col("_na") + F.col("_nb")) * (down - up))
+    pairs = written(possible.select("a", "b"), "near-pairs")
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")  # as a table it has a known size: small ones are broadcast, and texts stay where they are
+    sets = docs.join(keys, "key", "left_semi").select("key", "text").mapInArrow(sets_of, "key long, h array<long>")
+    sets = written(sets.dropDuplicates(["key"]), "near-sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("y")), "b")
+    return written(both.where(F.size(F.array_intersect("x", "y")) * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b"), "near-links")
+
+
+def shared_prefixes(docs: DataFrame, total: int, shingle: int, least: Fraction) -> DataFrame:
+    """Columns of PREFIX: the prefixes' shingles that several texts have there, as a table."""
+    frequent, groups = frequent_bins(docs, shingle), total // GROUP_BYTES + 1
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                key, lists = b.column(0).to_numpy(), b.column(1)
-                h, doc, n, place = prefixes(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), frequent, least)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[doc]), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["h", "key", "n", "at"])
+        for key, h, sizes in set_batches(batches, shingle):
+            h, doc, n, place = prefixes(h, sizes, frequent, least)
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(groups)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(key[doc]), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["group", "h", "key", "n", "at"])
 
     def share(group: pa.Table) -> pa.Table:
+        give_back()
         h, key = group.column("h").to_numpy(), group.column("key").to_numpy()
         order = np.lexsort((key, h))
         order = order[np.append(True, (h[order[1:]] != h[order[:-1]]) | (key[order[1:]] != key[order[:-1]]))[: len(order)]]
         same = h[order[1:]] == h[order[:-1]]
-        return group.select(["h", "key", "n", "at"]).take(pa.array(order[np.append(same, False) | np.append(False, same)]))
+        return group.take(pa.array(order[np.append(same, False) | np.append(False, same)]))
+
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
+    return written(docs.mapInArrow(begin, PREFIX).repartition(parts, "group").groupBy("group").applyInArrow(share, PREFIX), "near-shared")
+
+
+def sharing_pairs(shared: DataFrame, least: Fraction) -> DataFrame:
+    """Columns a, b: candidates among the texts of each shingle; with a column label all of different labels, else neighbours by size."""
 
     def pair(group: pa.Table) -> pa.Table:
         h, key, n, at = (group.column(c).to_numpy().astype(np.int64) for c in ("h", "key", "n", "at"))
@@ -129,28 +205,4 @@ def links(df: DataFrame, text_col: str = "text", shingle: int = 5, least: Fracti
         a, b = candidates(h, key, n, at, label, least)
         return pa.table({"a": a, "b": b})
 
-    group = F.pmod(F.col("h"), F.lit(groups)).alias("group")
-    shared = written(shingles(df, text_col, shingle).mapInArrow(begin, PREFIX).groupBy(group).applyInArrow(share, PREFIX), "near-shared")
-    close = verified(shared.groupBy(group).applyInArrow(pair, "a long, b long"), df, text_col, shingle, least)
-    labels = connected_components(close).withColumnRenamed("node", "key")
-    named = shared.join(labels, "key", "left").select("h", "key", "n", "at", F.coalesce("component", "key").alias("label"))
-    far = verified(named.groupBy(group).applyInArrow(pair, "a long, b long"), df, text_col, shingle, least)
-    return close.unionByName(far)
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of ``df``, all columns, without those of a component but its smallest id's.
-
-    Texts link where the Jaccard similarity of their sets of ``shingle``-word
-    shingles, A-Z in lower case, is ``least`` or more. Rows with a null id stay,
-    and so do rows that share the smallest id.
-    """
-    key = F.xxhash64(_text(text_col))
-    marks = df.select(F.col(id_col).cast("long").alias("_qw_id"), key.alias("_qw_hash")).distinct()
-    firsts = marks.groupBy("_qw_hash").agg(F.min("_qw_id").alias("first"))
-    comps = connected_components(links(df, text_col, shingle, least))
-    least_ids = written(firsts.join(comps, F.col("_qw_hash") == F.col("node"), "left").select("_qw_hash", "first", "component"), "near-members")
-    named = least_ids.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    table = least_ids.join(named, "component", "left").select("_qw_hash", F.coalesce("least", "first").alias("keep"))
-    gone = marks.join(table, "_qw_hash").where("_qw_id <> keep").select("_qw_id", "_qw_hash")
-    return df.join(gone, (F.col(id_col).cast("long") == F.col("_qw_id")) & (key == F.col("_qw_hash")), "left_anti")
+    return shared.groupBy("group").applyInArrow(pair, "a long, b long")

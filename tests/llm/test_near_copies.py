@@ -62,7 +62,6 @@ def test_stage_on_the_table(spark):
 def test_crowds_and_frequent_shingles(spark, monkeypatch):
     """A crowd of near copies, boilerplate in every text, groups of few bytes."""
     monkeypatch.setattr(near_copies, "GROUP_BYTES", 5000)
-    monkeypatch.setattr(near_copies, "SAMPLE", 50)
     r = random.Random(4)
     notice = " ".join(f"notice{k}" for k in range(40))
     base = [f"b{r.random()}" for _ in range(200)]
@@ -77,15 +76,47 @@ def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(1)
     from fractions import Fraction
 
+    frequent = r.random(near_copies.BINS) < 0.3
     for _ in range(200):
-        whole = r.integers(0, 1 << 40, r.integers(5, 200))
+        whole = np.unique(r.integers(0, 1 << 40, r.integers(5, 200))).astype(np.uint64)
+        mixed = r.permutation(whole)
         drop = len(whole) // 10
-        a, b = whole[drop:], whole[: len(whole) - drop]
-        h, doc, n, at = near_copies.prefixes(np.concatenate([a, a[:3], b]), np.array([len(a) + len(a[:3]), len(b)]), np.sort(whole[::3]), Fraction(4, 5))
+        a, b = np.sort(mixed[drop:]), np.sort(mixed[: len(whole) - drop])
+        h, doc, n, at = near_copies.prefixes(np.concatenate([a, b]), np.array([len(a), len(b)]), frequent, Fraction(4, 5))
+        assert (n == np.where(doc == 0, len(a), len(b))).all()
         if 5 * len(set(a) & set(b)) >= 4 * len(set(whole)):
             assert set(h[doc == 0]) & set(h[doc == 1])
 
 
+def test_parities_never_tell_more_than_the_difference(spark):
+    r = np.random.default_rng(2)
+    sets = []
+    for size in (1, 30, 300, 520, 3000):
+        whole = np.unique(r.integers(0, 1 << 62, size, np.int64)).astype(np.uint64)
+        sets += [whole, whole[: len(whole) * 9 // 10], whole[len(whole) // 4 :]]
+    sets.append(np.zeros(0, np.uint64))
+    bits, many = near_copies.parities(np.concatenate(sets), np.array(list(map(len, sets))))
+    found = [x.tolist() for x in np.split(bits, np.cumsum(many)[:-1])]
+    assert sorted(set(many.tolist())) == [4, 8, 16, 64]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if max(len(a), len(b)) * 4 <= 5 * min(len(a), len(b))]
+    df = spark.createDataFrame([(i, j, found[i], found[j]) for i, j in near], "i int, j int, a array<long>, b array<long>")
+    told = df.select("i", "j", near_copies.parity_difference("a", "b").alias("n")).collect()
+    assert len({(many[i], many[j]) for i, j in near}) > 4
+    for i, j, n in told:
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert n <= apart and (n > 0) == (apart > 0)
+
+
+def test_shingle_sets_are_the_texts():
+    texts = ["a b c d e f", "A b C d e f", "a b c d e f a b c d e", "a b", "A B", "a", "", None, "b a", "  "]
+    h, sizes = near_copies.shingle_sets(texts, 5)
+    sets = [tuple(x) for x in np.split(h, np.cumsum(sizes)[:-1])]
+    assert sizes.tolist() == [len(shingle_set(t)) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (sets[i] == sets[j]) == (shingle_set(a) == shingle_set(b))
+
+
 def test_repeated_lines_alone_link_nothing(spark):
     """Lines repeated often set a text's fingerprint, not its set of shingles: texts with words of their own stay."""
     r = random.Random(8)
