@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwing.llm import exact_dedup, langid, near_copies, packing, substring_dedup
+from quillwing.llm import exact_dedup, langid, packing, simhash, substring_dedup
 from quillwing.llm.common import written
 from quillwing.llm.queries import documents, tokenizer_path
 
@@ -23,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a five-word similarity of 0.8 or more the document with the smallest doc_id stays."""
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, shingle=5, least=Fraction(4, 5))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
