@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from .common import give_back, written
 from .substring_dedup import STEP, Words, mixed
 
-#: Bins that shingles are counted in, over all texts; the driver gets one number a bin.
-BINS = 1 << 17
+#: Texts that may have a shingle before it counts as frequent; the same at every size, so a shingle's pairs don't grow with the input.
+FREQUENT = 16
+#: Frequent shingles that come last in the order, the most frequent first; the driver gets no more. The order decides on cost alone.
+LATE = 1 << 17
+#: Hashes that a task sums up before it sends them.
+HELD = 1 << 20
 #: Words of 64 bits in a set's parities, at least; a power of two.
 PARITY_WORDS = 4
 #: Bytes of text whose prefixes share a group, about half a million rows.
@@ -67,32 +71,59 @@ def set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tup
                 yield np.array(list(new), np.int64), *shingle_sets(list(new.values()), shingle)
 
 
-def frequent_bins(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Which bins of shingles more than twice as many texts have as have a bin on average; their shingles come last in the order.
+def frequent_shingles(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that more than FREQUENT texts have, the LATE most frequent, and how many texts have each.
 
-    All texts are counted: a task adds up its texts and sends at most BINS numbers.
+    All texts are counted, exactly: a task sums up its hashes, parts of the hashes add up the tasks' sums.
     """
+    parts = total // GROUP_BYTES + 1
+
+    def dealt(h: np.ndarray) -> pa.RecordBatch:
+        h, n = np.unique(h, return_counts=True)
+        part = (h % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        some, first = np.unique(part[order], return_index=True)
+        cuts = pa.array(np.append(first, len(h)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(cuts, pa.array(h[order].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(n[order].astype(np.int32)))], ["part", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BINS, np.int64)
+        held: list[np.ndarray] = []
         for _, h, _ in set_batches(batches, shingle):
-            sums += np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["bin", "n"])
+            held.append(h)
+            if sum(map(len, held)) >= HELD:
+                yield dealt(np.concatenate(held))
+                held = []
+        if held:
+            yield dealt(np.concatenate(held))
+
+    def add(group: pa.Table) -> pa.Table:
+        give_back()
+        h, n = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("h", "n"))
+        h, at = np.unique(h, return_inverse=True)
+        sums = np.bincount(at, n, len(h)).astype(np.int64)
+        return pa.table({"h": h[sums > FREQUENT], "n": sums[sums > FREQUENT]})
 
-    found = docs.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(BINS, np.int64)
-    sums[found.column("bin").to_numpy()] = found.column("n").to_numpy()
-    return sums > max(2.0, 2 * sums.mean())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+    sums = docs.mapInArrow(count, "part int, h array<long>, n array<int>").repartition(tasks, "part").groupBy("part").applyInArrow(add, "h long, n long")
+    found = sums.orderBy(F.desc("n"), "h").limit(LATE).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order].astype(np.int32)
 
 
-def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, text, size of the text's set, place in it) of the first n - ceil(least * n) + 1 shingles of every text's ordered set.
 
-    Two sets of similarity ``least`` or more share so many shingles that these beginnings share one, whatever the order.
+    Two sets of similarity ``least`` or more share so many shingles that these beginnings share one, whatever the order;
+    in it ``frequent`` shingles (hashes, ascending, and counts) come last, the most frequent at the end.
     """
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    late = frequent[(h % np.uint64(BINS)).astype(np.int64)]
+    known, count = frequent
+    spot = np.searchsorted(known, h)
+    late = np.zeros(len(h), np.int32)
+    inside = np.flatnonzero(spot < len(known))
+    inside = inside[known[spot[inside]] == h[inside]]
+    late[inside] = count[spot[inside]]
     order = np.lexsort((h, late, doc))
     h, doc = h[order], doc[order]
     n = sizes
@@ -102,11 +133,15 @@ def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, least: Frac
     return h[first], doc[first], n[first], at[first]
 
 
-def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, label: np.ndarray | None, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of keys that share a prefix shingle and whose sizes and places allow ``least``: neighbours by size alone, or with labels all pairs of different ones."""
+def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, label: np.ndarray | None, least: Fraction, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of keys that share a prefix shingle and whose sizes and places allow ``least``: neighbours by size alone, or with labels all pairs of different ones.
+
+    With ``parity`` (a row of 64-bit words each, see ``folded``) pairs that it rules out go too.
+    """
     order = np.lexsort((key, n, h))
     h, key, n, at = h[order], key[order], n[order], at[order]
     label = key if label is None else label[order]
+    parity = None if parity is None else parity[order].view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
     out = np.empty((0, 2), np.int64)
     parts, held = [out], 0
     i, d = np.arange(len(h)), 1
@@ -117,7 +152,12 @@ def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, la
             break
         j = i + d
         fit = (label[i] != label[j]) & ((least.numerator + least.denominator) * np.minimum(n[i] - at[i], n[j] - at[j]) >= least.numerator * (n[i] + n[j]))
-        a, b = key[i[fit]], key[j[fit]]
+        x, y = i[fit], j[fit]
+        if parity is not None:
+            apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+            some = (least.numerator + least.denominator) * apart <= (least.denominator - least.numerator) * (n[x] + n[y])
+            x, y = x[some], y[some]
+        a, b = key[x], key[y]
         parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         held += len(a)
         if held > 1 << 22:
@@ -144,6 +184,11 @@ def parities(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64), words
 
 
+def folded(parity: str) -> list[Column]:
+    """PARITY_WORDS columns p0, p1, ...: a column of parities folded to so many words; what two differ in there, they differ in at first."""
+    return [F.expr(f"aggregate(filter({parity}, (x, i) -> i % {PARITY_WORDS} = {k}), 0L, (s, x) -> s ^ x)").alias(f"p{k}") for k in range(PARITY_WORDS)]
+
+
 def parity_difference(a: str, b: str) -> Column:
     """Places at which two columns of parities differ; one may have twice the words of the other, which is folded then."""
     half = lambda c: f"zip_with(slice({c}, 1, cast(size({c}) / 2 as int)), slice({c}, cast(size({c}) / 2 as int) + 1, cast(size({c}) / 2 as int)), (x, y) -> x ^ y)"
@@ -177,7 +222,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int,
 
 def shared_prefixes(docs: DataFrame, total: int, shingle: int, least: Fraction) -> DataFrame:
     """Columns of PREFIX: the prefixes' shingles that several texts have there, as a table."""
-    frequent, groups = frequent_bins(docs, shingle), total // GROUP_BYTES + 1
+    frequent, groups = frequent_shingles(docs, total, shingle), total // GROUP_BYTES + 1
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, h, sizes in set_batches(batches, shingle):
@@ -197,12 +242,13 @@ def shared_prefixes(docs: DataFrame, total: int, shingle: int, least: Fraction)
 
 
 def sharing_pairs(shared: DataFrame, least: Fraction) -> DataFrame:
-    """Columns a, b: candidates among the texts of each shingle; with a column label all of different labels, else neighbours by size."""
+    """Columns a, b: candidates among the texts of each shingle; with columns label and p0, p1, ... all of different labels that these parities allow, else neighbours by size."""
 
     def pair(group: pa.Table) -> pa.Table:
         h, key, n, at = (group.column(c).to_numpy().astype(np.int64) for c in ("h", "key", "n", "at"))
         label = group.column("label").to_numpy() if "label" in group.column_names else None
-        a, b = candidates(h, key, n, at, label, least)
+        parity = None if label is None else np.stack([group.column(f"p{k}").to_numpy() for k in range(PARITY_WORDS)], axis=1)
+        a, b = candidates(h, key, n, at, label, least, parity)
         return pa.table({"a": a, "b": b})
 
     return shared.groupBy("group").applyInArrow(pair, "a long, b long")

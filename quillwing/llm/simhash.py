@@ -215,7 +215,7 @@ def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least:
     come first from the fingerprints within ``radius`` bits, and from neighbours by
     size among texts that share a prefix shingle: these join copies and crowds. Fingerprints miss
     many pairs near the bound, so next come all pairs that share a prefix shingle and
-    whose components still differ. Every candidate is verified by its whole sets.
+    whose components still differ, but for those that their sets' parities rule out. Every candidate is verified by its whole sets.
     """
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,8 @@ def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least:
     shared = near_copies.shared_prefixes(docs, total, shingle, least)
     close = near_copies.verified(close.unionByName(near_copies.sharing_pairs(shared, least)), docs, marks, shingle, least)
     labels = connected_components(close).withColumnRenamed("node", "key")
-    named = shared.join(labels, "key", "left").select("group", "h", "key", "n", "at", F.coalesce("component", "key").alias("label"))
+    parity = marks.select("key", *near_copies.folded("parity"))
+    named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component").join(parity, "key")
     return close.unionByName(near_copies.verified(near_copies.sharing_pairs(named, least), docs, marks, shingle, least))
 
 

@@ -76,9 +76,10 @@ def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(1)
     from fractions import Fraction
 
-    frequent = r.random(near_copies.BINS) < 0.3
     for _ in range(200):
         whole = np.unique(r.integers(0, 1 << 40, r.integers(5, 200))).astype(np.uint64)
+        often = whole[r.random(len(whole)) < 0.3]
+        frequent = (often, r.integers(2, 9, len(often)).astype(np.int32))
         mixed = r.permutation(whole)
         drop = len(whole) // 10
         a, b = np.sort(mixed[drop:]), np.sort(mixed[: len(whole) - drop])
@@ -88,6 +89,28 @@ def test_prefixes_of_similar_sets_meet():
             assert set(h[doc == 0]) & set(h[doc == 1])
 
 
+def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
+    """Sums of several tasks, several sends a task and several parts; only the most frequent where there are too many."""
+    monkeypatch.setattr(near_copies, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(near_copies, "HELD", 50)
+    r = random.Random(6)
+    lines = [f"l{k} l{k} l{k} l{k} l{k}" for k in range(40)]
+    rows = [(k, " ".join(r.sample(lines, 1 + k % 20))) for k in range(120)] + [(200, ""), (201, None)]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(4)
+    counts = {}
+    for _, t in rows:
+        for h in near_copies.shingle_sets([t], 5)[0].tolist():
+            counts[h] = counts.get(h, 0) + 1
+    want = {h: n for h, n in counts.items() if n > near_copies.FREQUENT}
+    assert len(want) > 10
+    h, n = near_copies.frequent_shingles(df, 10_000, 5)
+    assert list(zip(h.tolist(), n.tolist(), strict=True)) == sorted(want.items())
+    monkeypatch.setattr(near_copies, "LATE", 5)
+    few = near_copies.frequent_shingles(df, 10_000, 5)[0].tolist()
+    assert len(few) == 5 and few == sorted(few) and min(counts[h] for h in few) >= sorted(want.values())[-5]
+    assert near_copies.frequent_shingles(df.where("false"), 0, 5)[0].tolist() == []
+
+
 def test_parities_never_tell_more_than_the_difference(spark):
     r = np.random.default_rng(2)
     sets = []
@@ -107,6 +130,23 @@ def test_parities_never_tell_more_than_the_difference(spark):
         assert n <= apart and (n > 0) == (apart > 0)
 
 
+def test_parities_rule_out_no_similar_pair(spark):
+    """All pairs of a crowd around the bound: what is left of the candidates has every similar pair, and few others."""
+    from fractions import Fraction
+
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 1 << 62, 150, np.int64)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) < r.choice([0.6, 0.8, 0.97])], r.integers(0, 1 << 62, 9, np.int64).astype(np.uint64)])) for _ in range(90)]
+    sizes = np.array(list(map(len, sets)))
+    bits, many = near_copies.parities(np.concatenate(sets), sizes)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.split(bits, np.cumsum(many)[:-1]))], "key long, parity array<long>")
+    parity = np.array([list(x) for x in df.orderBy("key").select(*near_copies.folded("parity")).collect()])
+    key, same, at = np.arange(len(sets)), np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.int64)
+    found = [set(zip(*(x.tolist() for x in near_copies.candidates(same, key, sizes, at, key.copy(), Fraction(4, 5), p)), strict=True)) for p in (None, parity)]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (sizes[i] + sizes[j])}
+    assert similar and similar <= found[1] < found[0] and len(found[1]) < len(found[0]) / 2
+
+
 def test_shingle_sets_are_the_texts():
     texts = ["a b c d e f", "A b C d e f", "a b c d e f a b c d e", "a b", "A B", "a", "", None, "b a", "  "]
     h, sizes = near_copies.shingle_sets(texts, 5)
