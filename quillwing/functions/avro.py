@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.codec import UUID, AvroDataError, plain_values, value_decoder, value_encoder
+from ..operators.depth import fitted
 from ..plans.schema import AvroType, is_nullable, parse, spark_type
 
 
@@ -32,6 +33,7 @@ def from_avro(col: Column | str, schema, reader_schema=None, mode: str = "FAILFA
 
     With ``reader_schema`` the data resolve to it; whether that can be is
     checked here. Bytes left over or missing fail the query, or give null in mode PERMISSIVE. Null stays null.
+    Records nested deeper than ``recursive_depth`` in themselves are null.
     """
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -50,7 +52,7 @@ def from_avro(col: Column | str, schema, reader_schema=None, mode: str = "FAILFA
                 if mode == "FAILFAST":
                     raise
                 out.append(None)
-        return pa.array(out, to_arrow_type(kind))
+        return fitted(out, to_arrow_type(kind))
 
     return decode(col)
 
@@ -79,6 +81,29 @@ def avro_md5(col: Column | str) -> Column:
     return F.unhex(F.md5(col))
 
 
+def wide_decimal_keys(raw: Column) -> tuple[Column, Column]:
+    """Two keys that order big-endian two's complement numbers of any length by value.
+
+    The first is the number of bytes without those that only repeat the sign,
+    negative for negative numbers; the second those bytes in hex, of equal length wherever the first is equal.
+    """
+    h = F.hex(raw)
+    negative = F.substring(h, 1, 1) >= "8"
+    short = F.when(negative, F.regexp_replace(h, "^(FF)+", "")).otherwise(F.regexp_replace(h, "^(00)+", ""))
+    n = (F.length(short) / 2).cast("int")
+    return F.when(negative, -1 - n).otherwise(n), short
+
+
+def _beyond_precision(raw: Column, precision: int) -> Column:
+    """Whether a decimal's bytes have more digits than that."""
+    places, digits = wide_decimal_keys(raw)
+    most = 10**precision - 1
+    size = most.bit_length() // 8 + 1
+    high, low = most.to_bytes(size, "big").lstrip(b"\0"), (-most).to_bytes(size, "big", signed=True).lstrip(b"\xff")
+    above = (places > len(high)) | ((places == len(high)) & (digits > high.hex().upper()))
+    return above | (places < -1 - len(low)) | ((places == -1 - len(low)) & (digits < low.hex().upper()))
+
+
 # Validation
 
 _ERRORS = "array<struct<path:string,value:string,type:string>>"
@@ -120,6 +145,10 @@ def _errors(col: Column, t: AvroType, path: Column) -> Column:
         wrong = ~col.between(0, 86_400_000 * (1 if t.logical == "time-millis" else 1000) - 1)
     elif t.logical == "decimal" and t.precision <= 38:
         wrong = F.abs(col) >= F.lit(10 ** (t.precision - t.scale)).cast("decimal(38,0)") if t.precision > t.scale else F.lit(False)
+    elif t.logical == "decimal":
+        wrong = _beyond_precision(col, t.precision)
+        if t.kind == "fixed":
+            wrong = wrong | (F.octet_length(col) != t.size)
     elif t.logical == "duration":
         wrong = F.lit(False)
         for n in ("months", "days", "millis"):
@@ -131,7 +160,8 @@ def _errors(col: Column, t: AvroType, path: Column) -> Column:
         wrong = ~col.isin(t.symbols)
     elif t.kind == "fixed":
         wrong = F.octet_length(col) != t.size
-    value = F.hex(col) if t.kind in ("bytes", "fixed") and t.logical is None else col
+    raw = t.kind in ("bytes", "fixed") and (t.logical is None or (t.logical == "decimal" and t.precision > 38))
+    value = F.hex(col) if raw else col
     return F.when(col.isNull(), missing).otherwise(F.when(wrong, one(value)).otherwise(none))
 
 
@@ -204,7 +234,12 @@ def _random(t: AvroType, seed: int, depth: int = 0) -> Column:
         h = F.lower(F.md5(F.concat(r(1).cast("string"), r(2).cast("string"))))
         return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
     if t.logical == "decimal":
-        return (r() * 10 ** min(15, t.precision - t.scale)).cast(kind) if t.precision <= 38 else F.encode(F.lit("\x01"), "UTF-8")
+        if t.precision <= 38:
+            return (r() * 10 ** min(15, t.precision - t.scale)).cast(kind)
+        n = ((10**t.precision).bit_length() - 1) // 8
+        n, more = (min(n, t.size), max(0, t.size - n)) if t.kind == "fixed" else (n, 0)
+        digits = F.substring(F.repeat(F.sha2(r().cast("string"), 512), n // 64 + 1), 1, 2 * n)
+        return F.unhex(F.concat(F.when(digits >= "8", "ff" * more).otherwise("00" * more), digits))
     if t.logical == "duration":
         return F.struct(*[(r(i) * 1000).cast("long").alias(n) for i, n in enumerate(("months", "days", "millis"))])
     if t.logical == "date":

@@ -104,9 +104,21 @@ class AvroProtocol:
     def handler(self, name: str) -> Callable[[DataFrame], DataFrame] | None:
         return self.handlers.get(name) or (self.parent.handler(name) if self.parent else None)
 
-    def add_remote(self, remote: AvroProtocol) -> bytes:
-        """Know a remote version by its hash. All messages must exist there and resolve: our requests as theirs, their responses and errors as ours."""
-        for name, m in self.messages.items():
+    def add_remote(self, remote: AvroProtocol, side: str = "emitter") -> bytes:
+        """Know a remote version by its hash.
+
+        As an emitter we call it: all our messages must exist there and resolve, our
+        requests as theirs, their responses and errors as ours. As a listener it calls
+        us: of the messages both have, its requests must resolve as ours, our responses and errors as its.
+        """
+        if side not in ("emitter", "listener"):
+            raise ValueError(f"unknown side {side!r}")
+        for name, r in remote.messages.items() if side == "listener" else ():
+            if m := self.messages.get(name):
+                check(_as_named(r.request, m.request.name), m.request)
+                check(m.response, r.response)
+                check(m.errors, r.errors)
+        for name, m in self.messages.items() if side == "emitter" else ():
             if name not in remote.messages:
                 raise SchemaError(f"remote protocol {remote.name} lacks message {name!r}")
             r = remote.messages[name]
@@ -312,21 +324,25 @@ def avro_unframe(col: Column | str, limit: int = REQUEST_LIMIT) -> Column:
 # Dispatch
 
 
-def dispatch(requests: DataFrame, protocol: AvroProtocol, envelope_col: str = "envelope") -> DataFrame:
+def dispatch(requests: DataFrame, protocol: AvroProtocol, envelope_col: str = "envelope", remote: bytes | None = None) -> DataFrame:
     """Answer a DataFrame of decoded envelopes (see ``decode_call_envelope``): the other columns, message, and the response envelope.
 
     Each message with a handler is one branch of the plan: its rows, their decoded
-    params, the handler's DataFrame, the encoded response. Messages without a
-    handler get an error of the string branch.
+    params, the handler's DataFrame, the encoded response. A handler may add a column
+    ``error`` (of the message's errors union); rows where it isn't null are
+    answered by it. Messages without a handler get an error of the string branch.
+    ``remote`` is the hash of the version that the requests are written in, where it isn't ours.
     """
     keep = [c for c in requests.columns if c != envelope_col]
     flat = requests.select(*keep, F.col(f"{envelope_col}.meta").alias("meta"), F.col(f"{envelope_col}.message").alias("message"), F.col(f"{envelope_col}.params").alias("_params"))
-    handled = [n for n in protocol.messages if protocol.handler(n)]
+    theirs = protocol if remote is None or remote == protocol.md5 else protocol.remotes[remote]
+    handled = [n for n in protocol.messages if protocol.handler(n) and n in theirs.messages]
     out = None
     for name in handled:
-        rows = flat.where(F.col("message") == name).withColumn("params", decode_call_params(F.col("_params"), name, protocol))
+        rows = flat.where(F.col("message") == name).withColumn("params", decode_call_params(F.col("_params"), name, protocol, remote))
         answered = protocol.handler(name)(rows)
-        part = answered.select(*keep, "message", encode_call_response(F.col("meta"), name, F.col("response"), protocol).alias("response"))
+        error = F.col("error") if "error" in answered.columns and "error" not in rows.columns else None
+        part = answered.select(*keep, "message", encode_call_response(F.col("meta"), name, F.col("response"), protocol, error).alias("response"))
         out = part if out is None else out.unionByName(part)
     text = F.concat(F.lit("no handler for message "), F.coalesce("message", F.lit("null")))
     rest = flat.where(~F.coalesce(F.col("message").isin(handled) if handled else F.lit(False), F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.avro import from_avro, to_avro
+from ..functions.avro import from_avro, to_avro, wide_decimal_keys
 from ..plans.schema import AvroType, parse
 
 
@@ -36,6 +36,8 @@ def _keys(t: AvroType, col: Column, descending: bool, mode: str) -> list[tuple[C
         return out
     if t.logical == "duration":
         return [(col[n], descending) for n in ("months", "days", "millis")]
+    if t.logical == "decimal" and t.precision > 38:
+        return [(col, descending)] if mode == "bytes" else [(k, descending) for k in wide_decimal_keys(col)]
     if t.logical == "decimal" and mode == "bytes":
         raw = to_avro(col, t.to_json())
         return [(F.substring(raw, 2, 64) if t.kind == "bytes" else raw, descending)]

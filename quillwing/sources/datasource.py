@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.codec import AvroDataError, block_decoder, plain_values, row_encoder
 from ..operators.columnar import decode_blocks, encode_rows, is_flat, side_by_side
+from ..operators.depth import fitted
 from ..plans.resolve import check, field_pairs
 from ..plans.schema import AvroType, Field, SchemaError, from_spark, parse, to_struct
 from . import container as c
@@ -170,7 +171,7 @@ class Reading:
     def _batch(columns: list[list], kinds: pa.Schema, rows: int) -> pa.RecordBatch:
         if not columns:
             return pa.RecordBatch.from_struct_array(pa.array([{}] * rows, pa.struct([])))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
+        return pa.RecordBatch.from_arrays([fitted(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
 
 
 class BatchReader(DataSourceReader):
@@ -188,24 +189,25 @@ class StreamReader(DataSourceStreamReader):
     """Files as they arrive. An offset is the sorted list of files seen; ``maxFilesPerTrigger`` bounds a batch.
 
     With ``availableNow`` Spark asks for one latest offset and stops there, so leave the bound out.
+    A restarted query tells its last offset by ``partitions`` before it asks for the latest one.
     """
 
     def __init__(self, path: str, reading: Reading):
         self.path, self.reading = path, reading
         self.most = int(reading.options.get("maxfilespertrigger", 1 << 30))
-        self.seen: list[str] = []
+        self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:
         return {"files": "[]"}
 
     def latestOffset(self) -> dict:
-        new = [f for f, _ in c.list_files(self.path) if f not in set(self.seen)]
-        self.seen = sorted([*self.seen, *new[: self.most]])
-        return {"files": json.dumps(self.seen)}
+        new = [f for f, _ in c.list_files(self.path) if f not in self.seen]
+        self.seen.update(new[: self.most])
+        return {"files": json.dumps(sorted(self.seen))}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
         old = set(json.loads(start["files"]))
-        self.seen = sorted({*self.seen, *json.loads(end["files"])})
+        self.seen.update(json.loads(end["files"]))
         sizes = dict(c.list_files(self.path))
         return self.reading.splits([(f, sizes[f]) for f in json.loads(end["files"]) if f not in old and f in sizes])
 
@@ -240,6 +242,9 @@ class Writing:
         self.validate = _flag(options, "validate", True)
         name = options.get("bytetransform")
         self.transform = transforms[name] if name else None
+        self.sink = options.get("sinkid", "")
+        if "/" in self.sink:
+            raise ValueError("sinkId becomes part of file names")
         self.job = uuid.uuid4().hex
         self.aside = f"{self.path}/_temporary-{self.job}"
 
@@ -290,19 +295,25 @@ class Writing:
             out.close()
         return Part(rows, f"{self.aside}/{name}", f"{self.path}/{name}")
 
-    def commit(self, parts: list[Part | None], empty_file: bool = True) -> None:
+    def commit(self, parts: list[Part | None], batch: int | None = None) -> None:
+        """Shows the new files, and only then deletes those they replace: all on overwriting, a repeated batch's own where ``sinkId`` names the sink."""
         fs_, root = c.store(self.path)
         fs_.create_dir(root, recursive=True)
-        if self.overwrite:
-            for path, _ in c.list_files(self.path):
-                fs_.delete_file(c.store(path)[1])
-        done = [p for p in parts if p is not None and p.rows]
-        for p in done:
-            fs_.move(c.store(p.temporary)[1], c.store(p.final)[1])
-        if not done and empty_file:
+        done = sorted((p for p in parts if p is not None and p.rows), key=lambda p: p.temporary)
+        finals = [c.store(p.final)[1] for p in done]
+        old = [c.store(path)[1] for path, _ in c.list_files(self.path)] if self.overwrite else []
+        if batch is not None and self.sink:
+            stem = f"part-{self.sink}-{batch:010d}-"
+            finals = [f"{root}/{stem}{k:05d}.avro" for k in range(len(done))]
+            old = [p for p in (c.store(path)[1] for path, _ in c.list_files(self.path)) if p.rpartition("/")[2].startswith(stem)]
+        for p, final in zip(done, finals, strict=True):
+            fs_.move(c.store(p.temporary)[1], final)
+        if not done and batch is None:
             data = c.header_bytes(self.type_json, self.codec, self.sync or os.urandom(c.SYNC_SIZE), self.meta)
             with fs_.open_output_stream(f"{root}/part-00000-{self.job}.avro") as f:
                 f.write(self.transform[0](data) if self.transform else data)
+        for path in set(old) - set(finals):
+            fs_.delete_file(path)
         self.abort()
 
     def abort(self) -> None:
@@ -328,7 +339,12 @@ class BatchWriter(DataSourceArrowWriter):
 
 
 class StreamWriter(DataSourceStreamArrowWriter):
-    """A batch's files appear when it commits; a batch that is run again after its commit would add them again."""
+    """A batch's files appear when it commits.
+
+    With the option ``sinkId`` (one of its own for each query that writes to the folder) files are
+    named by it and the batch, so a batch that is run again after its commit replaces
+    its own files; without it, the files are added again.
+    """
 
     def __init__(self, writing: Writing):
         self.writing = writing
@@ -337,7 +353,7 @@ class StreamWriter(DataSourceStreamArrowWriter):
         return self.writing.write(iterator)
 
     def commit(self, messages: list, batchId: int) -> None:
-        self.writing.commit(messages, empty_file=False)
+        self.writing.commit(messages, batchId)
 
     def abort(self, messages: list, batchId: int) -> None:
         self.writing.abort()
@@ -351,7 +367,8 @@ class AvroContainerSource(DataSource):
     ``ignoreCorruptFiles``, ``recursiveDepth``, ``byteTransform``,
     ``maxFilesPerTrigger``. A user schema's columns alone are decoded, the rest skipped.
     Writing: ``avroSchema``, ``recordName``, ``recordNamespace``, ``compression``,
-    ``blockSize``, ``syncMarker`` (hex), ``avro.meta.<key>``, ``validate``, ``byteTransform``.
+    ``blockSize``, ``syncMarker`` (hex), ``avro.meta.<key>``, ``validate``, ``byteTransform``,
+    ``sinkId`` (streams: a repeated batch replaces its own files).
     Custom codecs and transformations are those known when ``register`` was called.
     """
 

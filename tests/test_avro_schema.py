@@ -110,15 +110,15 @@ def resolved(writer, reader, value):
     return value_decoder(parse(writer), parse(reader))(value_encoder(parse(writer))(value))
 
 
-NS = {"namespace": "org.apache.avro.compiler.schema.evolve"}
-R1 = rec("TestRecord1", ("name", "string"), ("value", "long"), **NS)
-R2 = rec("TestRecord2", ("name", "string"), ("value", "long"), ("data", "string", {"default": ""}), aliases=["TestRecord1"], **NS)
+NS = {"namespace": "depot.stock"}
+R1 = rec("Shelf", ("label", "string"), ("room", "long"), **NS)
+R2 = rec("Rack", ("label", "string"), ("room", "long"), ("keeper", "string", {"default": "none"}), aliases=["Shelf"], **NS)
 E = lambda symbols, **more: {"type": "enum", "name": "E", "symbols": symbols} | more
 
 
 @pytest.mark.parametrize(("writer", "reader", "value", "want"), [
-    (R1, R2, {"name": "n", "value": 1}, {"name": "n", "value": 1, "data": ""}),
-    (R2, R1 | {"aliases": ["TestRecord2"]}, {"name": "n", "value": 1, "data": "x"}, {"name": "n", "value": 1}),
+    (R1, R2, {"label": "A7", "room": 3}, {"label": "A7", "room": 3, "keeper": "none"}),
+    (R2, R1 | {"aliases": ["Rack"]}, {"label": "A7", "room": 3, "keeper": "Kim"}, {"label": "A7", "room": 3}),
     (rec("R", ("old", "long")), rec("R", ("new", "long", {"aliases": ["old"]})), {"old": 5}, {"new": 5}),
     (rec("R", ("old", "long", {"aliases": ["new"]})), rec("R", ("new", "long")), {"old": 5}, {"new": 5}),
     (rec("R", ("d", "string")), rec("R", ("d", "bytes")), {"d": "é"}, {"d": "é".encode()}),
@@ -137,7 +137,7 @@ def test_resolution(writer, reader, value, want):
 
 
 @pytest.mark.parametrize(("writer", "reader"), [
-    (R1, rec("TestRecord3", ("name", "string"), ("data", "string", {"default": ""}), **NS)), (rec("R", ("a", "string")), rec("R", ("a", "long"))), (rec("R", ("a", "int")), rec("R", ("b", "int"))),
+    (R1, rec("Drawer", ("label", "string"), ("keeper", "string", {"default": "none"}), **NS)), (rec("R", ("a", "string")), rec("R", ("a", "long"))), (rec("R", ("a", "int")), rec("R", ("b", "int"))),
     (["int", "string"], "int"), ("long", "int"), ("double", "float"), ({"type": "int", "logicalType": "date"}, "int"), (E(["A", "B"]), E(["A"])), (["int", "bytes"], ["int"]), ("string", "int"),
     ({"type": "fixed", "name": "F", "size": 2}, {"type": "fixed", "name": "F", "size": 3}), (rec("R", ("a", "int"), ("b", "int")), rec("R", ("c", "int", {"aliases": ["a", "b"]}))),
     ({"type": "bytes", "logicalType": "decimal", "precision": 5, "scale": 2}, {"type": "bytes", "logicalType": "decimal", "precision": 5, "scale": 1}), ({"type": "array", "items": "string"}, {"type": "array", "items": "int"}),
@@ -149,12 +149,12 @@ def test_pairs_that_do_not_resolve(writer, reader):
 
 def test_every_default():
     reader = rec(
-        "TestRecord", ("id", "int"), ("nul", "null", {"default": None}), ("flag", "boolean", {"default": True}), ("i", "int", {"default": 1}), ("l", "long", {"default": 1}), ("f", "float", {"default": 1.5}),
+        "Whole", ("id", "int"), ("nul", "null", {"default": None}), ("flag", "boolean", {"default": True}), ("i", "int", {"default": 1}), ("l", "long", {"default": 1}), ("f", "float", {"default": 1.5}),
         ("d", "double", {"default": 1.1}), ("b", "bytes", {"default": "ÿ"}), ("s", "string", {"default": "foo"}), ("r", rec("Nested", ("a", "int")), {"default": {"a": 1}}), ("e", {"type": "enum", "name": "TE", "symbols": ["FOO", "BAR"]}, {"default": "FOO"}),
         ("arr", {"type": "array", "items": "int"}, {"default": [1]}), ("m", {"type": "map", "values": "int"}, {"default": {"a": 1}}), ("fx", {"type": "fixed", "name": "TF", "size": 1}, {"default": "ÿ"}),
         ("u", ["string", "int", "null"], {"default": "bare"}), ("w", ["null", "string"], {"default": {"string": "wrapped"}}),
     )
-    got = resolved(rec("TestRecord", ("id", "int")), reader, {"id": 42})
+    got = resolved(rec("Whole", ("id", "int")), reader, {"id": 42})
     assert got == {"id": 42, "nul": None, "flag": True, "i": 1, "l": 1, "f": 1.5, "d": 1.1, "b": b"\xff", "s": "foo", "r": {"a": 1}, "e": "FOO", "arr": [1], "m": [("a", 1)], "fx": b"\xff", "u": {"member0": "bare"}, "w": "wrapped"}
     row = bytearray()
     row_encoder(parse(reader), ["id"])(row.extend, (42,))
