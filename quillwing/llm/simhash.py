@@ -208,14 +208,23 @@ def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Columns a, b: each two components (``labels``: key, component; other keys are their own) that an edge joins, once, by their labels."""
+    of = lambda c: labels.select(F.col("key").alias(c), F.col("component").alias(f"_{c}"))
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+    return named.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least: Fraction) -> DataFrame:
-    """Columns a, b: verified pairs of text keys whose components are those of all pairs of similarity ``least`` or more.
+    """Columns a, b: edges between text keys whose components are those of all pairs of similarity ``least`` or more.
 
     ``docs`` has key and text; ``total`` is about the bytes of text. Candidates
     come first from the fingerprints within ``radius`` bits, and from neighbours by
     size among texts that share a prefix shingle: these join copies and crowds. Fingerprints miss
     many pairs near the bound, so next come all pairs that share a prefix shingle and
     whose components still differ, but for those that their sets' parities rule out. Every candidate is verified by its whole sets.
+    The edges are each component's star, and one edge for all pairs that join the same two.
     """
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +241,12 @@ def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least:
     close = close.unionByName(marks.join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")))
     shared = near_copies.shared_prefixes(docs, total, shingle, least)
     close = near_copies.verified(close.unionByName(near_copies.sharing_pairs(shared, least)), docs, marks, shingle, least)
-    labels = connected_components(close).withColumnRenamed("node", "key")
+    labels = written(connected_components(close).withColumnRenamed("node", "key"), "near-labels")
     parity = marks.select("key", *near_copies.folded("parity"))
     named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component").join(parity, "key")
-    return close.unionByName(near_copies.verified(near_copies.sharing_pairs(named, least), docs, marks, shingle, least))
+    rest = near_copies.verified(near_copies.sharing_pairs(named, least), docs, marks, shingle, least)
+    stars = labels.where("key <> component").select(F.col("component").alias("a"), F.col("key").alias("b"))
+    return stars.unionByName(contracted(rest, labels))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, least: Fraction | None = None) -> DataFrame:
