@@ -19,6 +19,8 @@ FREQUENT = 16
 LATE = 1 << 17
 #: Hashes that a task sums up before it sends them.
 HELD = 1 << 20
+#: Pairs that a task gathers before it drops repeated ones, at least.
+PAIRS_HELD = 1 << 20
 #: Words of 64 bits in a set's parities, at least; a power of two.
 PARITY_WORDS = 4
 #: Bytes of text whose prefixes share a group, about half a million rows.
@@ -69,6 +71,8 @@ def set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tup
                 if len(seen) < REMEMBERED:
                     seen.update(new)
                 yield np.array(list(new), np.int64), *shingle_sets(list(new.values()), shingle)
+    seen.clear()
+    give_back()
 
 
 def frequent_shingles(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +137,13 @@ def prefixes(h: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.nd
     return h[first], doc[first], n[first], at[first]
 
 
+def distinct_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    """The rows (a, b) of all parts, each once, in order."""
+    pairs = np.concatenate(parts)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]]
+
+
 def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, label: np.ndarray | None, least: Fraction, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of keys that share a prefix shingle and whose sizes and places allow ``least``: neighbours by size alone, or with labels all pairs of different ones.
 
@@ -160,12 +171,12 @@ def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, la
         a, b = key[x], key[y]
         parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         held += len(a)
-        if held > 1 << 22:
-            parts, held = [np.unique(np.concatenate(parts), axis=0)], 0
+        if held > max(PAIRS_HELD, len(parts[0])):
+            parts, held = [distinct_pairs(parts)], 0
         if label is key:
             break
         d += 1
-    out = np.unique(np.concatenate(parts), axis=0)
+    out = distinct_pairs(parts)
     return out[:, 0], out[:, 1]
 
 
