@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words, as a Java pattern.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: What a Python worker keeps from task to task, by its user; a task of another user drops it.
+KEPT: dict[str, dict] = {}
 #: Ordered buckets at most: their bounds are a literal in the plan. Beyond it buckets grow, and sort with spills.
 MAX_BUCKETS = 1 << 16
 
@@ -35,10 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Hands memory that this Python worker has freed back to the system; workers live on from stage to stage."""
+def give_back(user: str = "") -> None:
+    """Hands memory that this Python worker has freed back to the system; workers live on from stage to stage.
+
+    What others than ``user`` keep in ``KEPT`` goes first.
+    """
     import pyarrow as pa
 
+    for other in [name for name in KEPT if name != user]:
+        del KEPT[other]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

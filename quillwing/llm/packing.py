@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .pieces import ChunkedEncoder
+from .pieces import ENCODERS, ChunkedEncoder
 
 #: Rests are cut into pieces of at most a window's so many-th part, so that a window gets several and the sums come out near-equal.
 PARTS = 4
@@ -122,7 +122,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        give_back()
+        give_back(ENCODERS)
         encoder, packer = ChunkedEncoder.of(tokenizer_path, lead), Packer(capacity, TaskContext.get().partitionId() << 40)
 
         def out() -> Iterator[pa.RecordBatch]:

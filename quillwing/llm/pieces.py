@@ -9,6 +9,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import KEPT
+
 #: Chunks that one Python worker keeps; with more, it starts over.
 CACHE_CHUNKS = 600_000
 #: Chunks that go to the library as one text.
@@ -23,7 +25,8 @@ BLANK = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Characters that lower-casing and composing leave as long as they are.
 STABLE = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])*")
 
-_encoders: dict = {}
+#: Under this name workers keep encoders.
+ENCODERS = "encoders"
 
 
 class Codes(dict):
@@ -68,9 +71,10 @@ class ChunkedEncoder:
 
     @staticmethod
     def of(path: str, lead: bool) -> ChunkedEncoder:
-        if (path, lead) not in _encoders:
-            _encoders[path, lead] = ChunkedEncoder(path, lead)
-        return _encoders[path, lead]
+        encoders = KEPT.setdefault(ENCODERS, {})
+        if (path, lead) not in encoders:
+            encoders[path, lead] = ChunkedEncoder(path, lead)
+        return encoders[path, lead]
 
     def forget(self) -> None:
         self.codes, self.used = Codes(), 0
