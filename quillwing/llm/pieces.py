@@ -12,7 +12,7 @@ import numpy as np
 from .common import KEPT
 
 #: Chunks that one Python worker keeps; with more, it starts over.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 #: Chunks that go to the library as one text.
 JOINED = 64
 CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
