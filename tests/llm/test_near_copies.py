@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from quillwing.llm import near_copies, queries
+from quillwing.llm import near_copies, queries, simhash
+from quillwing.llm.common import connected_components
 
 SF = "/root/testdata/sf0.01"
 
@@ -163,3 +164,19 @@ def test_repeated_lines_alone_link_nothing(spark):
     line = " ".join(f"line{k}" for k in range(9))
     rows = [(k, " ".join([line] * 40 + [f"own{r.random()}" for _ in range(100)])) for k in range(20)]
     assert near(spark, rows) == list(range(20))
+
+
+def test_contracted_links_join_the_same_components(spark):
+    """Links among components' members, repeated ones and those inside one included, against the links as they are."""
+    rng = np.random.default_rng(11)
+    first, later = rng.integers(0, 120, (60, 2)).tolist(), rng.integers(0, 150, (90, 2)).tolist()
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    named = lambda edges: {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    labels = connected_components(frame(first)).withColumnRenamed("node", "key")
+    edges = simhash.contracted(frame(later + later), labels)
+    stars = labels.where("key <> component").selectExpr("component as a", "key as b")
+    assert named(stars.unionByName(edges)) == named(frame(first + later))
+    label = {r["key"]: r["component"] for r in labels.collect()}
+    wanted = sorted({tuple(sorted((label.get(a, a), label.get(b, b)))) for a, b in later})
+    assert sorted(map(tuple, edges.collect())) == wanted
+    assert simhash.contracted(frame([]), labels).count() == 0
