@@ -54,6 +54,14 @@ def through(df: DataFrame, write: dict | None = None, columns: list[str] | None
     return read_avro(df.sparkSession, stored(df, **(write or {})), columns, **read)
 
 
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream makes of all that its source has now, by files: no row passes through the driver, as with a memory sink."""
+    spark = stream.sparkSession
+    path = work_path(spark)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", work_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def record(name: str, *fields) -> str:
     import json
 
@@ -440,8 +448,7 @@ def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed messages cut into chunks at odd places, put together again by a stateful stream."""
     df = table(spark, sf_dir, "events").select("user_id", "event_id", P.avro_frame(F.encode("event_type", "UTF-8"), 4).alias("f"))
     halves = F.array(F.struct((F.col("event_id") * 2).alias("seq"), F.expr("substring(f, 1, 5)").alias("data")), F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.expr("substring(f, 6)").alias("data")))
-    chunks, source, name = df.select(F.col("user_id").alias("connection"), F.explode(halves).alias("x")).select("connection", "x.*"), work_path(spark), f"m{uuid.uuid4().hex}"
+    chunks, source = df.select(F.col("user_id").alias("connection"), F.explode(halves).alias("x")).select("connection", "x.*"), work_path(spark)
     chunks.write.parquet(source)
-    stream = assemble_frames(spark.readStream.schema(chunks.schema).parquet(source))
-    stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", work_path(spark)).start().awaitTermination()
-    return spark.table(name).groupBy("connection").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"))
+    got = drained(assemble_frames(spark.readStream.schema(chunks.schema).parquet(source)))
+    return got.groupBy("connection").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"))

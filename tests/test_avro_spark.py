@@ -10,6 +10,7 @@ from quillwing.functions import avro as A
 from quillwing.functions import protocol as P
 from quillwing.operators.codec import AvroDataError, value_encoder
 from quillwing.operators.ordering import NoOrder, avro_compare, avro_order_keys
+from quillwing.plans.queries import QUERIES
 from quillwing.plans.schema import SchemaError, parse
 from quillwing.sources import container
 from quillwing.sources.datasource import StreamWriter, Writing, read_avro, write_avro
@@ -355,3 +356,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def without_events(spark, path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_frames_of_a_stream_stay_off_the_driver(spark, tmp_path):
+    assert QUERIES["stream_frames"](spark, SF).inputFiles()
+    assert QUERIES["stream_frames"](spark, without_events(spark, tmp_path)).collect() == []
