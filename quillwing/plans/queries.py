@@ -138,10 +138,7 @@ def ocf_empty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM events")
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
-    path, name = stored(table(spark, sf_dir, "events").repartition(3)), f"m{uuid.uuid4().hex}"
-    source = spark.readStream.format(NAME).load(path)
-    source.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", work_path(spark)).start().awaitTermination()
-    return spark.table(name)
+    return drained(spark.readStream.format(NAME).load(stored(table(spark, sf_dir, "events").repartition(3))))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -366,3 +366,8 @@ def without_events(spark, path):
 def test_frames_of_a_stream_stay_off_the_driver(spark, tmp_path):
     assert QUERIES["stream_frames"](spark, SF).inputFiles()
     assert QUERIES["stream_frames"](spark, without_events(spark, tmp_path)).collect() == []
+
+
+def test_rows_of_a_streamed_scan_stay_off_the_driver(spark, tmp_path):
+    assert QUERIES["stream_scan"](spark, SF).inputFiles()
+    assert QUERIES["stream_scan"](spark, without_events(spark, tmp_path)).collect() == []
