@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,22 @@ class OrderedBuckets:
         return F.coalesce(F.when(F.col(self.id_col).isNull(), F.lit(0)).otherwise(F.greatest(F.expr(found), F.lit(1))), F.lit(0))
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (least member of each component) after the edges a, b between labelled nodes."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            after = label[label]
+            if (after == label).all():
+                break
+            label = after
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns ``node``, ``component`` (least node reachable) for every node of ``edges`` (values of one orderable type).
 

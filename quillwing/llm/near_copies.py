@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, written
+from .common import give_back, joined, written
 from .substring_dedup import STEP, Words, mixed
 
 #: Texts that may have a shingle before it counts as frequent; the same at every size, so a shingle's pairs don't grow with the input.
@@ -144,17 +144,42 @@ def distinct_pairs(parts: list[np.ndarray]) -> np.ndarray:
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]]
 
 
+def spanning_forest(pairs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those rows (a, b) of ``pairs``, and their weights, that join all they join at the least weights: fewer than there are keys.
+
+    Each round takes every component's lightest pair (Boruvka's scheme); of equal weights the first.
+    """
+    order = np.argsort(weight, kind="stable")
+    pairs, weight = pairs[order], weight[order]
+    every, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(pairs.shape).T
+    label, left, taken = np.arange(len(every)), np.arange(len(pairs)), np.zeros(len(pairs), bool)
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        if not apart.any():
+            return pairs[taken], weight[taken]
+        left, x, y = left[apart], x[apart], y[apart]
+        best = np.full(len(every), len(pairs))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        new = np.unique(best[best < len(pairs)])
+        taken[new] = True
+        label = joined(label, a[new], b[new])
+
+
 def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, label: np.ndarray | None, least: Fraction, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of keys that share a prefix shingle and whose sizes and places allow ``least``: neighbours by size alone, or with labels all pairs of different ones.
+    """Pairs of keys that share a prefix shingle and whose sizes and places allow ``least``: with labels all pairs of different ones.
 
     With ``parity`` (a row of 64-bit words each, see ``folded``) pairs that it rules out go too.
+    Without labels, pairs that join the same keys as all would, by parities that differ in as few places as can be: a spanning forest.
     """
+    forest = label is None
     order = np.lexsort((key, n, h))
     h, key, n, at = h[order], key[order], n[order], at[order]
     label = key if label is None else label[order]
     parity = None if parity is None else parity[order].view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
-    out = np.empty((0, 2), np.int64)
-    parts, held = [out], 0
+    parts, weights, held = [np.empty((0, 2), np.int64)], [np.empty(0)], 0
     i, d = np.arange(len(h)), 1
     while True:
         i = i[i + d < len(h)]
@@ -168,14 +193,20 @@ def candidates(h: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, la
             apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
             some = (least.numerator + least.denominator) * apart <= (least.denominator - least.numerator) * (n[x] + n[y])
             x, y = x[some], y[some]
+            if forest:
+                weights.append(apart[some] / (n[x] + n[y]))
         a, b = key[x], key[y]
         parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         held += len(a)
         if held > max(PAIRS_HELD, len(parts[0])):
-            parts, held = [distinct_pairs(parts)], 0
-        if label is key:
-            break
+            if forest:
+                parts, weights = ([x] for x in spanning_forest(np.concatenate(parts), np.concatenate(weights)))
+            else:
+                parts = [distinct_pairs(parts)]
+            held = 0
         d += 1
+    if forest:
+        parts = [spanning_forest(np.concatenate(parts), np.concatenate(weights))[0]]
     out = distinct_pairs(parts)
     return out[:, 0], out[:, 1]
 
@@ -253,12 +284,12 @@ def shared_prefixes(docs: DataFrame, total: int, shingle: int, least: Fraction)
 
 
 def sharing_pairs(shared: DataFrame, least: Fraction) -> DataFrame:
-    """Columns a, b: candidates among the texts of each shingle; with columns label and p0, p1, ... all of different labels that these parities allow, else neighbours by size."""
+    """Columns a, b: candidates among the texts of each shingle that their parities (columns p0, p1, ...) allow; with a column label all of different labels, else spanning forests."""
 
     def pair(group: pa.Table) -> pa.Table:
         h, key, n, at = (group.column(c).to_numpy().astype(np.int64) for c in ("h", "key", "n", "at"))
         label = group.column("label").to_numpy() if "label" in group.column_names else None
-        parity = None if label is None else np.stack([group.column(f"p{k}").to_numpy() for k in range(PARITY_WORDS)], axis=1)
+        parity = np.stack([group.column(f"p{k}").to_numpy() for k in range(PARITY_WORDS)], axis=1)
         a, b = candidates(h, key, n, at, label, least, parity)
         return pa.table({"a": a, "b": b})
 

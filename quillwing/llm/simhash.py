@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import connected_components, text_bytes, words, written
+from .common import connected_components, joined, text_bytes, words, written
 
 #: Fingerprints that chance alone may put under one key.
 LEAF = 1024
@@ -113,22 +113,6 @@ class VantageTree:
                 yield p[x + i], q[y]
 
 
-def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (least member of each component) after the edges a, b between labelled nodes."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            after = label[label]
-            if (after == label).all():
-                break
-            label = after
-
-
 def link_shard(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 96) -> tuple[np.ndarray, np.ndarray]:
     """Components of the links between points and queries within ``radius`` bits: (least member, member) for each other member."""
     every, at = np.unique(np.concatenate([points, queries]), return_inverse=True)
@@ -220,10 +204,10 @@ def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least:
     """Columns a, b: edges between text keys whose components are those of all pairs of similarity ``least`` or more.
 
     ``docs`` has key and text; ``total`` is about the bytes of text. Candidates
-    come first from the fingerprints within ``radius`` bits, and from neighbours by
-    size among texts that share a prefix shingle: these join copies and crowds. Fingerprints miss
-    many pairs near the bound, so next come all pairs that share a prefix shingle and
-    whose components still differ, but for those that their sets' parities rule out. Every candidate is verified by its whole sets.
+    come first from the fingerprints within ``radius`` bits, and from spanning forests of
+    the texts that share a prefix shingle, the likeliest pairs first: these join copies and crowds by as many pairs as texts.
+    Next come all pairs that share a prefix shingle and whose components still
+    differ, but for those that their sets' parities rule out. Every candidate is verified by its whole sets.
     The edges are each component's star, and one edge for all pairs that join the same two.
     """
 
@@ -240,9 +224,10 @@ def similar_texts(docs: DataFrame, total: int, shingle: int, radius: int, least:
     close = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     close = close.unionByName(marks.join(firsts, "fp").select(F.col("first").alias("a"), F.col("key").alias("b")))
     shared = near_copies.shared_prefixes(docs, total, shingle, least)
-    close = near_copies.verified(close.unionByName(near_copies.sharing_pairs(shared, least)), docs, marks, shingle, least)
-    labels = written(connected_components(close).withColumnRenamed("node", "key"), "near-labels")
     parity = marks.select("key", *near_copies.folded("parity"))
+    close = close.unionByName(near_copies.sharing_pairs(shared.join(parity, "key"), least))
+    close = near_copies.verified(close, docs, marks, shingle, least)
+    labels = written(connected_components(close).withColumnRenamed("node", "key"), "near-labels")
     named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component").join(parity, "key")
     rest = near_copies.verified(near_copies.sharing_pairs(named, least), docs, marks, shingle, least)
     stars = labels.where("key <> component").select(F.col("component").alias("a"), F.col("key").alias("b"))

@@ -180,3 +180,46 @@ def test_contracted_links_join_the_same_components(spark):
     wanted = sorted({tuple(sorted((label.get(a, a), label.get(b, b)))) for a, b in later})
     assert sorted(map(tuple, edges.collect())) == wanted
     assert simhash.contracted(frame([]), labels).count() == 0
+
+
+def test_a_crowd_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """Most texts of a crowd link to each other: once the first links are known, few pairs of different components may be left."""
+    pairs, verified = [], near_copies.verified
+
+    def counted(found, *others):
+        pairs.append(found.where("a <> b").distinct().count())
+        return verified(found, *others)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    r = random.Random(12)
+    base = [f"b{r.random()}" for _ in range(150)]
+    rows = [(k, edited(r, base, r.randint(1, 4))) for k in range(300)]
+    want = kept_ids(rows)
+    assert len(want) < 100
+    assert near(spark, rows) == want
+    assert len(pairs) == 2 and pairs[1] < 5 * len(rows)
+
+
+def test_a_forest_joins_what_all_pairs_join_at_each_weight(monkeypatch):
+    """Of all pairs at or under any weight and of the forest's, the components are the same; with sums taken often, too."""
+    from fractions import Fraction
+
+    r = np.random.default_rng(7)
+    pairs, weight = r.integers(0, 80, (600, 2)), r.integers(0, 12, 600) / 3
+    some, w = near_copies.spanning_forest(pairs, weight)
+    assert len(some) < 80
+    parts = lambda p: simhash.joined(np.arange(80), p[:, 0], p[:, 1]).tolist()
+    for bound in np.unique(weight):
+        assert parts(some[w <= bound]) == parts(pairs[weight <= bound])
+    assert near_copies.spanning_forest(pairs[:0], weight[:0])[0].shape == (0, 2)
+
+    key, shingle = np.tile(np.arange(60), 4), np.repeat(np.arange(4, dtype=np.uint64), 60)
+    use = r.random(240) < 0.4
+    key, shingle, parity = key[use], shingle[use], r.integers(0, 1 << 5, (60, 4))[key[use]]
+    size, place = np.full(len(key), 100), np.zeros(len(key), np.int64)
+    every = near_copies.candidates(shingle, key, size, place, key.copy(), Fraction(4, 5), parity)
+    for held in (1 << 20, 3):
+        monkeypatch.setattr(near_copies, "PAIRS_HELD", held)
+        few = near_copies.candidates(shingle, key, size, place, None, Fraction(4, 5), parity)
+        assert len(few[0]) < 60 and len(few[0]) < len(every[0]) / 4
+        assert parts(np.stack(few, axis=1)) == parts(np.stack(every, axis=1))
